@@ -23,6 +23,9 @@ def duck(sf_dir):
     return con
 
 
+TIMES: list = [(0, 0)]
+
+
 def plain(v):
     if v is None:
         return None
@@ -43,8 +46,11 @@ def plain(v):
 
 def compare(spark_df, con, sql):
     cols = sorted(spark_df.columns)
+    t0 = time.time()
     got = sorted((tuple(plain(r[c]) for c in cols) for r in spark_df.collect()), key=repr)
+    t1 = time.time()
     cur = con.execute(sql)
+    TIMES.append((t1 - t0, time.time() - t1))
     names = [d[0] for d in cur.description]
     if sorted(names) != cols:
         return f"columns {cols} != {sorted(names)}"
@@ -85,7 +91,8 @@ def main(names, sf_dir):
         except Exception as exc:  # noqa: BLE001
             err = f"{type(exc).__name__}: {str(exc)[:1500]}"
         kind = "oracle" if name in oracles else "rows"
-        print(f"{'ok  ' if err is None else 'FAIL'} {name:34s} {kind:6s} {time.time() - t0:6.1f}s {err or ''}", flush=True)
+        spark_s, duck_s = TIMES[-1]
+        print(f"spark {spark_s:5.1f} duck {duck_s:5.1f} {'ok  ' if err is None else 'FAIL'} {name:34s} {kind:6s} {time.time() - t0:6.1f}s {err or ''}", flush=True)
         if err:
             failed.append(name)
     print("failed:", failed, "of", len(queries), "oracles", len(oracles))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalar", "cases", "relational", "catalogue"]
+MODULES = ["scalar", "cases", "relational", "catalogue", "retrieval"]
 
 
 def load():
