@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalar", "cases", "relational", "catalogue", "retrieval"]
+MODULES = ["scalar", "cases", "relational", "catalogue", "aggregates", "retrieval", "evaluation"]
 
 
 def load():
