@@ -243,16 +243,22 @@ def with_fields(requests: DataFrame, templates: DataFrame) -> DataFrame:
 
 def extract_by_rules(requests: DataFrame, templates: DataFrame) -> DataFrame:
     """Requests with ``claims``: ARRAY<STRUCT<field, value, s, e>> the rules could read off the text."""
-    df = with_fields(requests, templates).withColumn("claims", F.array().cast(f"array<{CLAIM}>"))
-    for phase in PHASES:
-        # a column per phase, so that each one is evaluated once
-        df = df.withColumn("claims", phase(F.col("text"), F.col("fields"), F.col("claims")))
-    return df
+
+    def after(claims: Column, phases: list) -> Column:
+        if not phases:
+            return claims
+        # bound inside one expression: a chain of columns would be copied into every filter
+        # the optimizer pushes down, once per reference and phase
+        return let(phases[0](F.col("text"), F.col("fields"), claims), lambda c: after(c, phases[1:]))
+
+    claims = after(F.array().cast(f"array<{CLAIM}>"), PHASES)
+    return with_fields(requests, templates).withColumn("claims", claims)
 
 
 def rule_rows(extracted: DataFrame) -> DataFrame:
     """Long form: (request_id, field, value, source, confidence)."""
-    return extracted.select("request_id", F.explode("claims").alias("c")).select(
+    # explode_outer, because explode adds a size filter that evaluates the rules a second time
+    return extracted.select("request_id", F.explode_outer("claims").alias("c")).filter("c.field IS NOT NULL").select(
         "request_id", "c.field", "c.value", F.lit("rule").alias("source"), F.lit(RULE_CONFIDENCE).alias("confidence")
     )
 
@@ -341,10 +347,11 @@ def ground_proposals(extracted: DataFrame, proposals: DataFrame) -> DataFrame:
     Proposed values (request_id, field, value) refined and judged: (request_id, field, value,
     confidence, problem). Only fields the rules left open, of requests with unexplained words.
     """
-    asked = with_command(extracted).filter(F.size(unexplained_words(F.col("text"), F.col("command"))) > 0)
+    asked = with_command(extracted).withColumn("_asked", F.size(unexplained_words(F.col("text"), F.col("command"))) > 0)
     joined = proposals.filter(~is_absent(F.col("value")) & ~F.trim("value").isin("[]", "{}")).withColumnRenamed("field", "_field").join(asked, "request_id")
     spec = F.filter("fields", lambda f: f["field"] == F.col("_field"))
-    known = joined.withColumn("_spec", F.try_element_at(spec, F.lit(1))).filter(F.col("_spec").isNotNull() & ~_taken(F.col("claims"), F.col("_field")))
+    open_field = F.when(F.col("_asked") & ~_taken(F.col("claims"), F.col("_field")), F.try_element_at(spec, F.lit(1)))
+    known = joined.withColumn("_spec", open_field).filter(F.col("_spec").isNotNull())
     coerced = known.withColumn("_c", typed_coerce(F.col("value"), F.col("_spec.type")))
     refined = coerced.withColumn("_value", refine_value(
         F.col("_field"), F.col("_c.value"), F.col("_spec.type"), F.col("_spec.enum"), F.col("text"), F.col("command")))

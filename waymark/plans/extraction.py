@@ -103,12 +103,12 @@ _phase_query("extract_named_numbers", "numbers", "field IN ('page', 'limit')")
 _phase_query("extract_last_number", "number", "field = 'amount'")
 
 
-@query("claimed_spans_disjoint", f"SELECT count(DISTINCT request_id) AS requests, count(*) AS claims, CAST(0 AS BIGINT) AS overlaps FROM ({FOUND_SQL})")
+@query("claimed_spans_disjoint", f"SELECT count(DISTINCT request_id) AS requests, count(*) AS n_claims, CAST(0 AS BIGINT) AS overlaps FROM ({FOUND_SQL})")
 def _(spark, sf_dir):
-    claims = extracted(spark, sf_dir).filter(F.size("claims") > 0)
+    claims = extracted(spark, sf_dir)
     clash = F.exists("claims", lambda a: F.exists("claims", lambda b: (a["field"] != b["field"]) & (a["s"] < b["e"]) & (b["s"] < a["e"])))
     return claims.agg(
-        F.count_distinct("request_id").alias("requests"), F.sum(F.size("claims")).alias("claims"), F.count_if(clash).alias("overlaps")
+        F.count_distinct(F.when(F.size("claims") > 0, F.col("request_id"))).alias("requests"), F.sum(F.size("claims")).alias("n_claims"), F.count_if(clash).alias("overlaps")
     )
 
 
