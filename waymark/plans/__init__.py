@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalar", "cases", "relational", "catalogue", "aggregates", "retrieval", "evaluation", "extraction"]
+MODULES = ["scalar", "cases", "relational", "catalogue", "aggregates", "retrieval", "evaluation", "extraction", "streams"]
 
 
 def load():

@@ -13,6 +13,7 @@ ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateS
 # the cluster (shuffle partitions, executor memory) is left to the deployment.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -30,8 +31,9 @@ def build_session(master: str | None = None, app: str = "waymark", **conf) -> Sp
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Timestamps are compared in UTC everywhere."""
+    """Timestamps are instants compared in UTC everywhere, also those of files without a zone."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     return spark
 
 
