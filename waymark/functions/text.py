@@ -22,14 +22,16 @@ PATH_ID_PATTERN = r"/[0-9a-f-]{8,}"
 
 def tokenize(text: Column) -> Column:
     """Lower-case alphanumeric tokens; mixed ones also give their letter and digit runs of 2+ characters."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), 1)
+    low = F.lower(text)
+    words = F.regexp_extract_all(low, F.lit(r"([a-z0-9]+)"), 1)
 
     def runs(word: Column) -> Column:
         parts = F.regexp_extract_all(word, F.lit(r"([a-z]+|[0-9]+)"), 1)
         mixed = word.rlike("[a-z]") & word.rlike("[0-9]")
         return F.when(mixed, F.concat(F.array(word), F.filter(parts, lambda p: F.length(p) > 1))).otherwise(F.array(word))
 
-    return F.flatten(F.transform(words, runs))
+    # most texts hold no mixed word at all
+    return F.when(low.rlike("[a-z][0-9]|[0-9][a-z]"), F.flatten(F.transform(words, runs))).otherwise(words)
 
 
 def padded_alnum(text: Column) -> Column:

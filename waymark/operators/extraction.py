@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.text import alnum_words, word_parts
-from waymark.functions.values import is_absent, typed_coerce
+from waymark.functions.values import is_absent, let, typed_coerce
 from waymark.operators.templates import fields_array
 
 # Confidence of a rule, of a grounded value, of a switch that was inferred.
@@ -45,11 +45,6 @@ SPAN = "struct<v:string,s:int,e:int>"
 CLAIM = "struct<field:string,value:string,s:int,e:int>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _words_of(names: list[str]) -> Column:
     return F.array(*[F.lit(n) for n in names])
 
@@ -78,16 +73,18 @@ def find_spans(text: Column, lead, value, tail="") -> Column:
     flags, body = parts[0], parts[1]
     pattern = F.concat(flags, F.lit("("), body, F.lit(")"), parts[2])
     marked = F.regexp_replace(text, pattern, F.lit(f"$1{OPEN}$2{CLOSE}"))
-    pieces = F.split(marked, OPEN)
-    start = F.struct(F.length(pieces[0]).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("found"))
 
     def step(acc: Column, piece: Column) -> Column:
         found = F.substring_index(piece, CLOSE, 1)
-        end = acc["pos"] + F.length(found)
-        span = F.struct(found.alias("v"), acc["pos"].alias("s"), end.alias("e"))
+        span = F.struct(found.alias("v"), acc["pos"].alias("s"), (acc["pos"] + F.length(found)).alias("e"))
         return F.struct((acc["pos"] + F.length(piece) - 1).alias("pos"), F.concat(acc["found"], F.array(span)).alias("found"))
 
-    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda acc: acc["found"])
+    def located(pieces: Column) -> Column:
+        start = F.struct(F.length(pieces[0]).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("found"))
+        return F.aggregate(F.slice(pieces, 2, F.size(pieces) - 1), start, step, lambda acc: acc["found"])
+
+    # a text without a match is the common case and needs no further work
+    return let(F.split(marked, OPEN), lambda p: F.when(F.size(p) > 1, located(p)).otherwise(F.array().cast(f"array<{SPAN}>")))
 
 
 def _lead(pattern: str, flags: str = "") -> str:
@@ -244,15 +241,16 @@ def with_fields(requests: DataFrame, templates: DataFrame) -> DataFrame:
 def extract_by_rules(requests: DataFrame, templates: DataFrame) -> DataFrame:
     """Requests with ``claims``: ARRAY<STRUCT<field, value, s, e>> the rules could read off the text."""
 
-    def after(claims: Column, phases: list) -> Column:
-        if not phases:
-            return claims
-        # bound inside one expression: a chain of columns would be copied into every filter
-        # the optimizer pushes down, once per reference and phase
-        return let(phases[0](F.col("text"), F.col("fields"), claims), lambda c: after(c, phases[1:]))
 
-    claims = after(F.array().cast(f"array<{CLAIM}>"), PHASES)
-    return with_fields(requests, templates).withColumn("claims", claims)
+    def run(phase: Callable) -> Column:
+        # the claims so far are named once per phase: a filter pushed below would otherwise copy
+        # the rules of all earlier phases for every mention
+        return let(F.col("claims"), lambda c: phase(F.col("text"), F.col("fields"), c))
+
+    df = with_fields(requests, templates).withColumn("claims", F.array().cast(f"array<{CLAIM}>"))
+    for phase in PHASES:
+        df = df.withColumn("claims", run(phase))
+    return df
 
 
 def rule_rows(extracted: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.operators import evaluation, extraction
-from waymark.plans.registry import query, table
+from waymark.plans.registry import query, spread_table, table
 
 # One template per order priority.
 _SCHEMAS = {
@@ -66,7 +66,7 @@ def catalogue(spark):
 
 
 def requests(spark, sf_dir):
-    return spark.sql(_TEXTS, orders=table(spark, sf_dir, "orders"))
+    return spark.sql(_TEXTS, orders=spread_table(spark, sf_dir, "orders"))
 
 
 def extracted(spark, sf_dir):

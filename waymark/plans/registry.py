@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.session import prepare
+from waymark.session import prepare, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are expensive to work on, spread by its first column if it is in few splits."""
+    df = table(spark, sf_dir, name)
+    return spread(df, df.columns[0])
+
+
 def query(name: str, oracle: str | None = None):
     """Register ``fn(spark, sf_dir)`` under ``name``; ``oracle`` may use role placeholders."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.operators import dedup, dense, fusion, lexical, routing
-from waymark.plans.registry import query, table
+from waymark.plans.registry import query, spread_table, table
 from waymark.plans.roles import role
 
 K = 25
@@ -115,22 +115,22 @@ BM25_SQL = f"""
 
 @query("bm25_postings", POSTINGS_SQL)
 def _(spark, sf_dir):
-    return lexical.bm25_postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lexical.bm25_postings(spread_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("bm25_terms", f"SELECT term, df, round(idf, 6) AS idf FROM ({TERMS_SQL})")
 def _(spark, sf_dir):
-    return lexical.bm25_terms(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("idf", F.round("idf", 6))
+    return lexical.bm25_terms(spread_table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("idf", F.round("idf", 6))
 
 
 @query("bm25_docs", f"SELECT doc_id, coalesce(n, 0) AS doc_len FROM {{documents}} LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({tokens_sql('doc_id', 'documents')}) GROUP BY 1) USING (doc_id)")
 def _(spark, sf_dir):
-    return lexical.bm25_docs(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lexical.bm25_docs(spread_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def lexical_hits(spark, sf_dir, **kw):
     asked = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "request_id")
-    return lexical.bm25_search(asked, table(spark, sf_dir, "documents"), K, **kw)
+    return lexical.bm25_search(asked, spread_table(spark, sf_dir, "documents"), K, **kw)
 
 
 @query("bm25_search", f"SELECT request_id, doc_id, round(bm25_score, 6) AS bm25_score, rank FROM ({BM25_SQL})")
@@ -153,7 +153,7 @@ TFIDF_SQL = f"""
 
 @query("char_tfidf", f"{TFIDF_SQL} SELECT doc_id, round(norm, 6) AS norm, n_grams, round(max(w / norm), 6) AS top_weight FROM w JOIN n USING (doc_id) GROUP BY ALL")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     vecs = lexical.char_tfidf(docs, "doc_id", "text", lexical.char_idf(docs, "text"))
     return vecs.select(
         "doc_id", F.round("norm", 6).alias("norm"), F.size("terms").cast("bigint").alias("n_grams"), F.round(F.array_max("weights"), 6).alias("top_weight")
@@ -168,9 +168,10 @@ def _(spark, sf_dir):
     SELECT request_id, doc_id, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC, doc_id) AS INT) AS rank
     FROM s QUALIFY rank <= 25""")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     asked = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "request_id")
-    idf = lexical.char_idf(docs, "text")
+    # both sides look grams up in it, in separate jobs
+    idf = lexical.char_idf(docs, "text").persist()
     found = lexical.sparse_cosine_search(
         lexical.char_tfidf(asked, "request_id", "text", idf), lexical.char_tfidf(docs, "doc_id", "text", idf), K
     )

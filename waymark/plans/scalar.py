@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import intent, logs, models, net, scrub, text, values
-from waymark.plans.registry import query, table
+from waymark.plans.registry import query, spread_table, table
 
 # What a log line of each event looks like; the same text is built on both engines.
 LOG_LINE = """
@@ -25,7 +25,7 @@ LOG_LINE = """
     SELECT d.doc_id, count(w) AS n_tokens, count(DISTINCT w) AS n_terms, min(w) AS first_term, max(w) AS last_term
     FROM {documents} d LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id""")
 def _(spark, sf_dir):
-    tokens = table(spark, sf_dir, "documents").select("doc_id", text.tokenize(F.col("text")).alias("tokens"))
+    tokens = spread_table(spark, sf_dir, "documents").select("doc_id", text.tokenize(F.col("text")).alias("tokens"))
     distinct = F.array_distinct("tokens")
     return tokens.select(
         "doc_id",
@@ -87,7 +87,7 @@ def _intent_oracle(source: str, key: str) -> str:
 @query("intent_from_text", _intent_oracle("{documents}", "doc_id"))
 def _(spark, sf_dir):
     found = intent.intent_from_text(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", found.alias("f")).select("doc_id", "f.intent", "f.confidence")
+    return spread_table(spark, sf_dir, "documents").select("doc_id", found.alias("f")).select("doc_id", "f.intent", "f.confidence")
 
 
 @query("intent_for_row", f"""
@@ -102,7 +102,7 @@ def _(spark, sf_dir):
     lang = F.col("lang")
     method = F.when(lang == "en", "GET").when(lang == "de", "DELETE")
     scenario = F.when(lang.isin("fr", "en"), "extreme").otherwise("valid")
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         "doc_id", intent.intent_for_row(F.col("text"), method, scenario).alias("intent")
     )
 
@@ -121,7 +121,7 @@ SECRET_TEXT = """CONCAT(text, ' Bearer abc.def-', CAST(doc_id AS STRING), '== ta
           '(?i)password\\s*=\\s*[^\\s&"'']+', '***REDACTED***', 'g'),
           '(?i)api[_-]?key\\s*=\\s*[^\\s&"'']+', '***REDACTED***', 'g') AS clean FROM {{documents}})""")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(SECRET_TEXT).alias("line"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", F.expr(SECRET_TEXT).alias("line"))
     clean = docs.select("doc_id", scrub.scrub_text(F.col("line")).alias("clean"))
     return clean.select("doc_id", F.length("clean").cast("bigint").alias("n_chars"), F.md5(F.col("clean").cast("binary")).alias("digest"))
 
@@ -142,7 +142,7 @@ def _(spark, sf_dir):
         F.lit("note"), F.concat(F.lit("password="), event, F.lit(" for "), user),
         F.lit("kind"), F.col("event_type"),
     )
-    events = table(spark, sf_dir, "events")
+    events = spread_table(spark, sf_dir, "events")
     return events.select("event_id", F.explode(scrub.scrub_fields(fields)).alias("field", "value"))
 
 
@@ -154,7 +154,7 @@ def _(spark, sf_dir):
         F.regexp_replace("props", r"\}$", ""), F.lit(', "auth": "a'), F.col("event_id").cast("string"),
         F.lit('", "who": {"email": "x@y.z", "kind": "'), F.col("event_type"), F.lit('"}}'),
     )
-    return table(spark, sf_dir, "events").select("event_id", scrub.scrub_json(doc).alias("clean"))
+    return spread_table(spark, sf_dir, "events").select("event_id", scrub.scrub_json(doc).alias("clean"))
 
 
 @query("normalise_path", """
@@ -184,7 +184,7 @@ def _(spark, sf_dir):
            event_type IN ('click', 'signup', 'error') AS matched
     FROM {{events}}""")
 def _(spark, sf_dir):
-    lines = table(spark, sf_dir, "events").select("event_id", F.expr(LOG_LINE).alias("message"))
+    lines = spread_table(spark, sf_dir, "events").select("event_id", F.expr(LOG_LINE).alias("message"))
     return lines.select("event_id", logs.classify_log(F.col("message")).alias("c")).select("event_id", "c.*")
 
 
@@ -203,7 +203,7 @@ _API_CASE = "WHEN contains(low, '/api/') OR regexp_matches(low, '^(get |post |pu
            {_words_case(logs.ACTIVITY_WORDS, _API_CASE)} AS activity_type
     FROM (SELECT doc_id, lower(text) AS low FROM {{documents}})""")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         "doc_id", logs.infer_category(F.col("text")).alias("category"), logs.infer_activity(F.col("text")).alias("activity_type")
     )
 
@@ -313,7 +313,7 @@ def _(spark, sf_dir):
 @query("classify_error", f"""
     SELECT doc_id, {_words_case(values.ERROR_WORDS, "ELSE 'unknown'")} AS category FROM (SELECT doc_id, lower(text) AS low FROM {{documents}})""")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", values.classify_error(F.col("text")).alias("category"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", values.classify_error(F.col("text")).alias("category"))
 
 
 @query("parse_json_or_raw", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.metrics import BUCKETS
 from waymark.plans.aggregates import TELEMETRY_SQL
-from waymark.plans.registry import query, table
+from waymark.plans.registry import query, spread_table, table
 from waymark.plans.retrieval import DEDUP_SQL, THRESHOLD
 from waymark.plans.roles import ROLES, role
 from waymark.plans.scalar import LOG_LINE
@@ -44,7 +44,7 @@ def _enriched(records):
 
 @query("enrich_logs", ENRICHED_SQL)
 def _(spark, sf_dir):
-    return _enriched(spark.sql(_RECORDS, events=table(spark, sf_dir, "events")))
+    return _enriched(spark.sql(_RECORDS, events=spread_table(spark, sf_dir, "events")))
 
 
 @query("enrich_log_stream", ENRICHED_SQL)

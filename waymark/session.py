@@ -63,3 +63,15 @@ def checkpointed(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df, *keys):
+    """
+    Input for a compute-heavy plan, in at least as many parts as there are cores.
+
+    A small table in a single file would keep one core busy. A table that already has a split
+    per core, as any large one does, is left as it is, so nothing large is shuffled. Rows go by
+    key, which gives the same parts again when a lost task is repeated.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
