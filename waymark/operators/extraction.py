@@ -306,7 +306,12 @@ def refine_value(field: Column, value: Column, kind: Column, enum: Column, text:
 
 def json_leaves(value: Column) -> Column:
     """Scalars inside JSON text, members' names left out."""
-    strings = F.regexp_extract_all(value, F.lit(r'"((?:[^"\\]|\\.)*)"(?!\s*:)'), 1)
+    # names are matched too, so that the search goes on behind them, and then left out
+    quoted = r'"((?:[^"\\]|\\.)*)"(\s*:)?'
+    pairs = F.arrays_zip(
+        F.regexp_extract_all(value, F.lit(quoted), 1).alias("text"), F.regexp_extract_all(value, F.lit(quoted), 2).alias("colon")
+    )
+    strings = F.transform(F.filter(pairs, lambda p: p["colon"] == ""), lambda p: p["text"])
     bare = F.regexp_extract_all(F.regexp_replace(value, r'"(?:[^"\\]|\\.)*"', '""'), F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false)"), 1)
     return F.concat(strings, bare)
 

@@ -26,9 +26,14 @@ def stamped(df: DataFrame, provider: str, model: str, dimension: int) -> DataFra
     )
 
 
+def _by_partition(df: DataFrame) -> DataFrame:
+    """Rows of a dataset together, so that a task writes few files; Spark splits a dataset too large for one task."""
+    return df.hint("rebalance", "dataset_id")
+
+
 def append_vectors(df: DataFrame, path: str, provider: str, model: str, dimension: int) -> None:
     """Append; a single row of the wrong width fails the whole write."""
-    stamped(df, provider, model, dimension).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    _by_partition(stamped(df, provider, model, dimension)).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
 
 
 def replace_dataset_vectors(df: DataFrame, path: str, provider: str, model: str, dimension: int) -> None:
@@ -39,7 +44,7 @@ def replace_dataset_vectors(df: DataFrame, path: str, provider: str, model: str,
     gives the same table.
     """
     (
-        stamped(df, provider, model, dimension)
+        _by_partition(stamped(df, provider, model, dimension))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
     )
 
