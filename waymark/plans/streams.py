@@ -151,26 +151,29 @@ def _held_sql(windows: str, condition: str, hold: int, group: str = "", step: in
 
 
 _RATIO = _slide_sql("count(*) FILTER (status_code >= 500) / count(*) AS ratio", 300)
-SERVER_ERROR = F.col("status_code") >= 500
+
+
+def server_error():
+    return F.col("status_code") >= 500
 
 
 @query("error_ratio_alert", _held_sql(_RATIO, "ratio > 0.05", 300))
 def _(spark, sf_dir):
-    return alerts.ratio_alert(role(spark, sf_dir, "http"), SERVER_ERROR, **alerts.ERROR_RATIO)
+    return alerts.ratio_alert(role(spark, sf_dir, "http"), server_error(), **alerts.ERROR_RATIO)
 
 
 @query("error_ratio_alert_stream", f"""SELECT s AS slice_end, bad, total FROM (
     SELECT make_timestamp((epoch_us(ts) // 30000000 + 1) * 30000000) AS s, count(*) FILTER (status_code >= 500) AS bad, count(*) AS total FROM {{http}} GROUP BY 1) WHERE {CLOSED.format(end='s')}""")
 def _(spark, sf_dir):
     """The slices of the stream; the sliding ratio and its duration are read off them as a table."""
-    cut = alerts.slices(stream_role(spark, sf_dir, "http"), [], {"bad": F.count_if(SERVER_ERROR), "total": F.count("*")})
+    cut = alerts.slices(stream_role(spark, sf_dir, "http"), [], {"bad": F.count_if(server_error()), "total": F.count("*")})
     return drain(cut, "ratio-slices")
 
 
 @query("error_ratio_fired_from_stream", _held_sql(_slide_sql("count(*) FILTER (status_code >= 500) / count(*) AS ratio", 300).replace(
     "GROUP BY evaluated_at", f"WHERE {CLOSED.format(end='make_timestamp(s * 1000000)')} GROUP BY evaluated_at"), "ratio > 0.05", 300))
 def _(spark, sf_dir):
-    cut = alerts.slices(stream_role(spark, sf_dir, "http"), [], {"bad": F.count_if(SERVER_ERROR), "total": F.count("*")})
+    cut = alerts.slices(stream_role(spark, sf_dir, "http"), [], {"bad": F.count_if(server_error()), "total": F.count("*")})
     placed = alerts.slide(drain(cut, "ratio-slices"), [], ["bad", "total"], 300)
     windows = placed.withColumn("ratio", F.col("bad") / F.col("total"))
     return alerts.sustained(windows, F.col("ratio") > 0.05, "evaluated_at", alerts.STEP, 300)
