@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.plans.registry import TABLES, table
+from waymark.plans.registry import TABLES, spread_table, table
 
 ROLES: dict[str, str] = {
     # action log
@@ -106,9 +106,10 @@ def _split(sql: str) -> list[str]:
     return re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql)
 
 
-def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def role(spark: SparkSession, sf_dir: str, name: str, spread: tuple[str, ...] = ()) -> DataFrame:
+    """The DataFrame of a role; tables in ``spread`` are read in at least one part per core."""
     sql = ROLES[name]
-    frames = {n: table(spark, sf_dir, n) for n in set(_split(sql))}
+    frames = {n: (spread_table if n in spread else table)(spark, sf_dir, n) for n in set(_split(sql))}
     return spark.sql(sql, **frames)
 
 

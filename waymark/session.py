@@ -71,7 +71,8 @@ def spread(df, *keys):
 
     A small table in a single file would keep one core busy. A table that already has a split
     per core, as any large one does, is left as it is, so nothing large is shuffled. Rows go by
-    key, which gives the same parts again when a lost task is repeated.
+    key, which gives the same parts again when a lost task is repeated. Meant for scans: counting
+    the parts of a plan with shuffles would run them.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
