@@ -111,7 +111,7 @@ class SlicedIndex:
 
 
 def _matrix(frame: pd.DataFrame, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(frame["cells"]), "<i8").reshape(len(frame), width)
+    return np.frombuffer(b"".join(frame["cells"]), "<i8").reshape(len(frame), width) if width else np.zeros((len(frame), 0), np.int64)
 
 
 def _answer(key, queries: pd.DataFrame, items: pd.DataFrame, k: int) -> pd.DataFrame:

@@ -1,7 +1,8 @@
 """
 Toxicity by a factorization machine over hashed terms.
 
-A document is the set of its lower-cased words, hashed into ``BUCKETS``. The score is the logistic of a
+A document is the set of its terms, hashed into ``BUCKETS``: its lower-cased words and their beginnings of three to
+five letters, each once more for every number of ``LEVELS`` that its count reaches. The score is the logistic of a
 bias, a weight per term and the inner products of the factors of every two terms, so that two terms may
 say together what neither says alone. It is fitted on a bounded sample of the labelled rows (``sample``
 rows, those of the smallest hash of their id); every document is scored from its whole text.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -25,23 +27,33 @@ from waymark.llm.common import fold_of, texts
 
 BUCKETS = 1 << 20
 FACTORS = 4
+LEVELS = (1, 2, 4, 8)
 WORD = re.compile(r"\w+")
 
 
-def _terms(text: str, memo: dict[str, int]) -> np.ndarray:
-    if len(memo) > 300_000:
+def _spellings(word: str) -> tuple[int, ...]:
+    """Hashes of a word and of its beginnings: many words of one stem are one term."""
+    return tuple(zlib.crc32(x.encode("utf-8", "replace")) for x in (word, *(word[:n] + "*" for n in (3, 4, 5) if len(word) > n)))
+
+
+def _terms(text: str, memo: dict[str, tuple[int, ...]]) -> np.ndarray:
+    if len(memo) > 200_000:
         memo.clear()
-    out = []
-    for word in set(WORD.findall(text.lower())):
-        bucket = memo.get(word)
-        if bucket is None:
-            bucket = memo[word] = zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
-        out.append(bucket)
-    return np.unique(np.array(out, np.int32))
+    hashes, counts = [], []
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        found = memo.get(word)
+        if found is None:
+            found = memo[word] = _spellings(word)
+        hashes += found
+        counts += [n] * len(found)
+    kinds, of = np.unique(np.array(hashes, np.int64), return_inverse=True)
+    times = np.bincount(of, counts, minlength=len(kinds))
+    levels = [(kinds[times >= least] * 31 + least) % BUCKETS for least in LEVELS]
+    return np.unique(np.concatenate(levels)).astype(np.int32)
 
 
 def _hashed(batches):
-    memo: dict[str, int] = {}
+    memo: dict[str, tuple[int, ...]] = {}
     for batch in batches:
         terms = [_terms(t, memo).tobytes() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), batch.column("toxic")], ["terms", "toxic"])
@@ -79,7 +91,7 @@ class Machine:
         return float(self.bias + self.weights[at].sum() + pairs)
 
 
-def fit(rows, min_docs: int = 5, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
+def fit(rows, min_docs: int = 10, epochs: int = 8, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> Machine:
     """AdaGrad on the logistic loss; terms in fewer than ``min_docs`` sampled rows are left out."""
     labels = np.array([y for _, y in rows], np.float64)
     if not len(rows) or labels.min() == labels.max():
@@ -121,7 +133,7 @@ def fit(rows, min_docs: int = 5, epochs: int = 12, rate: float = 0.1, decay: flo
 
 
 def _score(batches, machine):
-    memo: dict[str, int] = {}
+    memo: dict[str, tuple[int, ...]] = {}
     model = machine.value
     for batch in batches:
         raw = np.array([model.raw(model.places(_terms(t, memo))) for t in batch.column("text").to_pylist()], np.float64)
