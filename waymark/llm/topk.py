@@ -74,7 +74,7 @@ class SlicedIndex:
         out, weight = [], 0
         while waiting:
             level = waiting.pop(weight, [])
-            stack = np.array(level).reshape(len(level), -1)
+            stack = np.array(level or [np.zeros_like(self.exists)])
             carried = []
             while len(stack) > 2:
                 n = len(stack) // 3
@@ -85,7 +85,7 @@ class SlicedIndex:
             if len(stack) == 2:
                 carried.append((stack[0] & stack[1])[None])
                 stack = (stack[0] ^ stack[1])[None]
-            out.append(stack[0] if len(stack) else np.zeros_like(self.exists))
+            out.append(stack[0])
             if carried:
                 waiting.setdefault(weight + 1, []).extend(np.concatenate(carried))
             weight += 1

@@ -72,7 +72,7 @@ def _writer(batches, folder, size, sample_bytes, archive_bytes, level):
 
     def begin():
         path = f"{base}/{uuid.uuid4().hex}.warc.zst"
-        stream = system.open_output_stream(path)
+        stream = system.open_output_stream(path, compression=None)
         trained = dictionary(waiting, size)
         data = trained.as_bytes()
         stream.write(MAGIC.to_bytes(4, "little") + len(data).to_bytes(4, "little") + data)
@@ -161,7 +161,7 @@ def _reader(batches, folder, payloads):
     for batch in batches:
         for path in batch.column("path").to_pylist():
             rows, held = [], 0
-            with system.open_input_stream(path) as stream:
+            with system.open_input_stream(path, compression=None) as stream:
                 for data in frames(stream):
                     fields, body = parse(data)
                     full = fields["warc-type"] == "response"
