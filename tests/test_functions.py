@@ -115,3 +115,12 @@ def test_json_or_raw(spark):
     assert one(spark, "{broken", values.parse_json_or_raw) == '{"raw":"{broken"}'
     assert one(spark, '{"a": 1}', values.parse_json_or_raw) == '{"a": 1}'
     assert one(spark, None, values.parse_json_or_raw) is None
+
+
+def test_secrets_are_hidden_at_any_depth(spark):
+    import json
+
+    doc = '{"a":{"b":{"c":{"d":{"e":{"password":"s3cret x","n":5,"list":[{"Token":"t0ps"}],"email":"q@w.e"}}}}}}'
+    out = one(spark, doc, scrub.scrub_json)
+    assert "s3cret" not in out and "t0ps" not in out and "q@w.e" not in out
+    assert json.loads(out)["a"]["b"]["c"]["d"]["e"]["n"] == 5

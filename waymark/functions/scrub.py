@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,12 +56,21 @@ def scrub_fields(fields: Column, production: bool = True) -> Column:
     return F.transform_values(fields, lambda k, v: scrub_value(k, v, production))
 
 
+def hide_members(value: Column, production: bool) -> Column:
+    """JSON text with the value of every sensitive name replaced, at any level: a scalar, or a list or object of scalars."""
+    scalar = r'"(?:[^"\\]|\\.)*"|[^\s,\[\]{}"]+'
+    for names, mark in ((SENSITIVE_KEYS, REDACTED),) + (((PII_KEYS, PII_MASKED),) if production else ()):
+        keys = "|".join(re.escape(k) for k in names)
+        value = F.regexp_replace(value, rf'(?i)"({keys})"\s*:\s*(?:{scalar}|\{{[^{{}}]*\}}|\[[^\[\]]*\])', f'"$1":"{mark}"')
+    return value
+
+
 def scrub_json(doc: Column, production: bool = True, depth: int = 3) -> Column:
     """
     JSON object text of any shape, scrubbed member by member down to ``depth`` levels.
 
-    Members of arrays keep the name of the array. Objects nested deeper than ``depth``
-    are scrubbed as text, so a secret in them is still caught by the text rules.
+    Members of arrays keep the name of the array. Objects nested deeper than ``depth`` are scrubbed
+    as text, after the values of sensitive names in them are replaced at whatever level they stand.
     """
     members = F.from_json(doc, "map<string,string>")
 
@@ -69,7 +80,8 @@ def scrub_json(doc: Column, production: bool = True, depth: int = 3) -> Column:
         is_array = value.rlike(r"^\s*\[")
         flat = scrub_value(key, value, production)
         if depth <= 1:
-            return flat
+            deep = scrub_value(key, hide_members(value, production), production)
+            return F.when(~hidden & (is_object | is_array), deep).otherwise(flat)
         inner = scrub_json(value, production, depth - 1)
         items = F.from_json(value, "array<string>")
         listed = F.concat(

@@ -48,7 +48,7 @@ def pool_to_template(
     named = rows.filter(F.col("t_id").isNotNull()).withColumn("_pos", F.row_number().over(order))
     pooled = {
         "max": F.max(score),
-        "mean": F.avg(score),
+        "mean": F.sum(F.col(score).cast("decimal(28,9)")).cast("double") / F.count(score),
         "top2mean": F.avg(F.when(F.col("_pos") <= 2, F.col(score))),
     }[strategy]
     out = named.groupBy(*group).agg(

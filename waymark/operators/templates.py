@@ -49,8 +49,22 @@ def fields_array(schema: Column, depth: int = 1) -> Column:
     return F.coalesce(_fields(schema, F.lit(""), depth), F.array().cast(empty))
 
 
-def schema_fields(templates: DataFrame, depth: int = 3) -> DataFrame:
-    """One row per field of each template's request schema, in declared order."""
+def schema_fields(templates: DataFrame, depth: int | None = None) -> DataFrame:
+    """
+    One row per field of each template's request schema, in declared order, at every depth.
+
+    Without ``depth`` the deepest schema is measured first: each level of fields opens two braces.
+    """
+    if depth is None:
+        braces = F.regexp_extract_all(F.coalesce("json_schema", F.lit("")), F.lit("[{}]"), F.lit(0))
+        start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+        def step(a, brace):
+            now = a["now"] + F.when(brace == "{", 1).otherwise(-1)
+            return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+        deepest = templates.agg(F.max(F.aggregate(braces, start, step, lambda a: a["most"]))).first()[0]
+        depth = max(1, ((deepest or 0) + 1) // 2)
     exploded = templates.select("t_id", F.posexplode(fields_array(F.col("json_schema"), depth)).alias("ordinal", "f"))
     return exploded.select("t_id", "ordinal", "f.*")
 

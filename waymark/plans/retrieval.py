@@ -198,7 +198,7 @@ def _pool_sql(pooled: str) -> str:
     SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY pooled_score DESC, t_id) AS INT) AS rank FROM p QUALIFY rank <= 5"""
 
 
-_POOLS = {"max": "max(similarity)", "mean": "avg(similarity)", "top2mean": "avg(similarity) FILTER (pos <= 2)"}
+_POOLS = {"max": "max(similarity)", "mean": "sum(CAST(similarity AS DECIMAL(38,9)))::DOUBLE / count(similarity)", "top2mean": "avg(similarity) FILTER (pos <= 2)"}
 
 
 def candidate_rows(spark, sf_dir):
