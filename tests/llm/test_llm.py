@@ -138,6 +138,18 @@ def test_marginal_sums_all_segmentations():
     assert np.isclose(model.log_marginal("there"), np.log(total))
 
 
+def test_words_together_as_one_by_one():
+    model = lattice.Lattice(lattice.pieces(lattice.FILE))
+    words = ["there", "über", "日本語", "x" * 70, "a", "\U0001f600ok", "é\u0301", "internationalisation", "their", "a"]
+    grid, uses = lattice.Grid(model), Counter()
+    for word in words:
+        model.expect(word, 1.0, uses)
+    together = grid.expect(words)
+    assert np.allclose(grid.log_marginals(words), [model.log_marginal(w) for w in words])
+    assert all(np.isclose(uses[k], together[k], atol=1e-9) for k in {*uses, *together})
+    assert len(grid.log_marginals([])) == 0 and not grid.expect([])
+
+
 def brute_top(rows, k=20):
     cells = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
