@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from waymark.llm.common import SPACES, texts
@@ -26,6 +27,11 @@ from waymark.llm.tokens import _library
 FILE = "word_bpe_49k.json"
 SPLIT = re.compile(f"[^{SPACES}]+")
 END = "</w>"
+# Composed letters and signs, which normal form leaves alone and every Unicode table classes alike.
+PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]*")
+# Bytes as characters: printable Latin-1 as it is, the rest in order from 256 on.
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*SHOWN}))}
 
 
 class Vocabulary:
@@ -35,7 +41,9 @@ class Vocabulary:
         import public_tokenizers
 
         with open(public_tokenizers.path(file), encoding="utf-8") as source:
-            model = json.load(source)["model"]
+            whole = json.load(source)
+        model, first = whole["model"], whole["pre_tokenizer"]["pretokenizers"][0]
+        self.border = regex.compile(first["pattern"]["Regex"])
         self.ids: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
         self.inside = {pair for token in self.ids for symbols in [symbols_of(token)] for pair in zip(symbols, symbols[1:])}
@@ -61,6 +69,7 @@ class Encoder:
         self.added = added
         self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
         self.fragments: dict[tuple, tuple] = {}
+        self.words: dict[str, tuple[list[str], list[int]]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
 
     def cuts(self, symbols: list[str]) -> list[tuple]:
@@ -75,14 +84,18 @@ class Encoder:
 
     def merge(self, fragment: tuple) -> tuple:
         """Tokens of one fragment: the pair of lowest rank is merged, leftmost first, until none is left."""
-        ranks, parts = self.vocab.ranks, list(fragment)
+        known, parts, none = self.vocab.ranks, list(fragment), 1 << 30
         if len(parts) > 200:
             return self._merge_long(parts)
-        while len(parts) > 1:
-            rank, at = min((ranks.get(pair, 1 << 30), i) for i, pair in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 30:
-                break
+        ranks = [known.get(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks and (low := min(ranks)) < none:
+            at = ranks.index(low)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = known.get((parts[at - 1], parts[at]), none)
+            if at < len(ranks):
+                ranks[at] = known.get((parts[at], parts[at + 1]), none)
         return tuple(parts)
 
     def _merge_long(self, parts: list[str]) -> tuple:
@@ -119,6 +132,13 @@ class Encoder:
             out.extend(tokens)
         return out
 
+    def pieces(self, part: str):
+        """Normalised pieces, bytes as characters; plain letters and signs need no call of the library."""
+        if not PLAIN.fullmatch(part):
+            return [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
+        found = self.vocab.border.findall(part.lower())
+        return found if part.isascii() else ["".join([BYTES[b] for b in piece.encode("utf-8")]) for piece in found]
+
     def chunk(self, chunk: str) -> tuple[bytes, str]:
         """Ids and decoded text of a stretch without white space."""
         tokens, ids = [], []
@@ -127,19 +147,22 @@ class Encoder:
                 tokens.append(part)
                 ids.append(self.added[part])
             elif part:
-                normal = self.library.normalizer.normalize_str(part)
-                for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal):
-                    found = self.word(piece)
-                    tokens.extend(found)
-                    ids.extend(self.vocab.ids[t] for t in found)
+                for piece in self.pieces(part):
+                    got = self.words.get(piece)
+                    if got is None:
+                        found = self.word(piece)
+                        got = found, [self.vocab.ids[t] for t in found]
+                        if len(piece) <= 64:
+                            self.words[piece] = got
+                    tokens += got[0]
+                    ids += got[1]
         return np.array(ids, "<u4").tobytes(), " ".join(tokens)
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit bytes, and the decoded text."""
-        if len(self.chunks) > self.room:
-            self.chunks.clear()
-        if len(self.fragments) > self.room:
-            self.fragments.clear()
+        for memory in (self.chunks, self.words, self.fragments):
+            if len(memory) > self.room:
+                memory.clear()
         ids, tokens = [], []
         for piece in SPLIT.findall(text):
             got = self.chunks.get(piece)
@@ -153,8 +176,14 @@ class Encoder:
         return b"".join(ids), " ".join(tokens)
 
 
+@lru_cache(maxsize=2)
+def encoder_of(file: str) -> Encoder:
+    """One per Python worker: what a task has merged serves the next."""
+    return Encoder(file)
+
+
 def _encoded(batches, full):
-    encoder = Encoder()
+    encoder = encoder_of(FILE)
     for batch in batches:
         found = [encoder.encode(t) for t in batch.column("text").to_pylist()]
         columns = [batch.column("doc_id"), pa.array([len(i) // 4 for i, _ in found], pa.int64())]

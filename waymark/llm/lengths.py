@@ -2,7 +2,7 @@
 Token counts from an exact histogram of encoded lengths.
 
 Documents are counted by length, combined in each task, so one row per distinct length is all that leaves
-the scan. Sums over the longer lengths then answer, for every context limit, how many documents fit, how many
+the scan, and they are stored before they are read several times. Sums over the longer lengths then answer, for every context limit, how many documents fit, how many
 tokens a limit keeps and where the quantiles lie. Prefix sums run inside blocks of 1,024 lengths and over
 the totals of blocks, so no task holds more than a block or one row per block.
 
@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import texts
-from waymark.llm.tokens import ByteEncoder
+from waymark.llm.common import stored, texts
+from waymark.llm.tokens import byte_encoder
 
 BLOCK = 1024
 FILE = "byte_bpe_50k.json"
 
 
 def _lengths(batches):
-    encoder = ByteEncoder(FILE)
+    encoder = byte_encoder(FILE)
     for batch in batches:
         counts = [len(encoder.ids(t)) // 4 for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["length"])
@@ -41,6 +41,7 @@ def limits(hist: DataFrame) -> DataFrame:
     docs_over, tokens_within, tokens_over, kept_tokens (each document cut at the limit), share_within.
     A quantile q is the smallest length whose share_within reaches q.
     """
+    hist = stored(hist, "lengths")
     rows = hist.withColumn("block", F.floor(F.col("length") / BLOCK)).withColumn("tokens", F.col("length") * F.col("n_docs"))
     sums = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     before = Window.partitionBy(F.floor(F.col("block") / BLOCK)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.common import stored, texts
-from waymark.llm.tokens import ByteEncoder
+from waymark.llm.tokens import byte_encoder
 
 FILE = "byte_bpe_50k.json"
 END_ID = 2
@@ -30,7 +30,7 @@ CAPACITY = 1024
 
 
 def _pieces(batches, file, capacity, end):
-    encoder, tail = ByteEncoder(file), np.array([end], "<u4").tobytes()
+    encoder, tail = byte_encoder(file), np.array([end], "<u4").tobytes()
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local"]
     for batch in batches:

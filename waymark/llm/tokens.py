@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
@@ -55,7 +56,7 @@ class ByteEncoder:
             found = self.ranked.encode_ordinary(piece)
         else:
             found = self.library.encode(piece, add_special_tokens=False).ids
-        return np.array(found, "<u4").tobytes()
+        return np.array(found, "<u4").tobytes() if len(found) > 64 else pack(f"<{len(found)}I", *found)
 
     def ids(self, text: str) -> bytes:
         memory, out = self.memory, []
@@ -69,3 +70,9 @@ class ByteEncoder:
                     memory[piece] = got
             out.append(got)
         return b"".join(out)
+
+
+@lru_cache(maxsize=4)
+def byte_encoder(file: str) -> ByteEncoder:
+    """One per Python worker: the pieces a task has met serve the next."""
+    return ByteEncoder(file)
