@@ -163,6 +163,10 @@ def test_cells_with_quotes_and_breaks_survive(spark):
     ('import os\n[{"query": "a"}]', []),
     ('{"query": "a"}', ["a"]),
     ("no json", []),
+    ('a {"query": "a"} } {"query": "lost"} {', ["a"]),
+    ('{{"query": "in"}} then {"query": "\u00e9\U0001f600"} {"query": cut} {"query": "z", "n": {"k": {"m": null}}}', ["\u00e9\U0001f600", "z"]),
+    ("", []),
+    (None, []),
 ])
 def test_salvage(spark, said, queries):
     df = spark.createDataFrame([(1, said)], "id int, raw string")
