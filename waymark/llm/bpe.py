@@ -15,14 +15,16 @@ import hashlib
 import json
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers.models import BPE
 
 from waymark.llm.common import SPACES, texts
-from waymark.llm.tokens import _library
+from waymark.llm.tokens import Memory, _library
 
 FILE = "word_bpe_49k.json"
 SPLIT = re.compile(f"[^{SPACES}]+")
@@ -35,7 +37,7 @@ BYTES = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(sort
 
 
 class Vocabulary:
-    """Ranks, ids and the pairs of symbols that occur inside tokens, of a BPE file with word ends."""
+    """Merges, ids and the pairs of symbols that occur inside tokens, of a BPE file with word ends."""
 
     def __init__(self, file: str):
         import public_tokenizers
@@ -45,7 +47,7 @@ class Vocabulary:
         model, first = whole["model"], whole["pre_tokenizer"]["pretokenizers"][0]
         self.border = regex.compile(first["pattern"]["Regex"])
         self.ids: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+        self.merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.inside = {pair for token in self.ids for symbols in [symbols_of(token)] for pair in zip(symbols, symbols[1:])}
 
 
@@ -63,74 +65,26 @@ def vocabulary(file: str) -> Vocabulary:
 
 
 class Encoder:
-    def __init__(self, file: str = FILE, room: int = 300_000):
-        self.library, self.vocab, self.room = _library(file), vocabulary(file), room
+    def __init__(self, file: str = FILE, room: int = 250_000):
+        self.library, self.vocab = _library(file), vocabulary(file)
+        self.last, self.middle = self.library.model, BPE(vocab=self.vocab.ids, merges=self.vocab.merges)
         added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.added = added
         self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
-        self.fragments: dict[tuple, tuple] = {}
-        self.words: dict[str, tuple[list[str], list[int]]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-
-    def cuts(self, symbols: list[str]) -> list[tuple]:
-        """Fragments between certain cuts."""
-        inside, begin, out = self.vocab.inside, 0, []
-        for i in range(1, len(symbols)):
-            if (symbols[i - 1], symbols[i]) not in inside:
-                out.append(tuple(symbols[begin:i]))
-                begin = i
-        out.append(tuple(symbols[begin:]))
-        return out
-
-    def merge(self, fragment: tuple) -> tuple:
-        """Tokens of one fragment: the pair of lowest rank is merged, leftmost first, until none is left."""
-        known, parts, none = self.vocab.ranks, list(fragment), 1 << 30
-        if len(parts) > 200:
-            return self._merge_long(parts)
-        ranks = [known.get(pair, none) for pair in zip(parts, parts[1:])]
-        while ranks and (low := min(ranks)) < none:
-            at = ranks.index(low)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = known.get((parts[at - 1], parts[at]), none)
-            if at < len(ranks):
-                ranks[at] = known.get((parts[at], parts[at + 1]), none)
-        return tuple(parts)
-
-    def _merge_long(self, parts: list[str]) -> tuple:
-        """The same with a heap and links, for fragments whose length would make the rescans quadratic."""
-        import heapq
-
-        ranks, n = self.vocab.ranks, len(parts)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(ranks[p], i, p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
-        heapq.heapify(heap)
-        while heap:
-            _, i, pair = heapq.heappop(heap)
-            j = right[i]
-            if parts[i] is None or j < 0 or (parts[i], parts[j]) != pair:
-                continue
-            parts[i], parts[j] = pair[0] + pair[1], None
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for a, b in ((left[i], i), (i, right[i])):
-                if a >= 0 and b >= 0 and (parts[a], parts[b]) in ranks:
-                    heapq.heappush(heap, (ranks[parts[a], parts[b]], a, (parts[a], parts[b])))
-        return tuple(p for p in parts if p is not None)
-
-    def word(self, word: str) -> list[str]:
+        self.words, self.chunks = Memory(room), Memory(room)
+
+    def fragments(self, word: str) -> list[str]:
+        """The stretches of a piece between certain cuts."""
         symbols = [*word[:-1], word[-1] + END]
-        out, known = [], self.fragments
-        for fragment in self.cuts(symbols):
-            tokens = known.get(fragment)
-            if tokens is None:
-                tokens = self.merge(fragment)
-                if len(fragment) <= 64:
-                    known[fragment] = tokens
-            out.extend(tokens)
-        return out
+        inside = self.vocab.inside
+        cuts = [i for i, pair in enumerate(zip(symbols, symbols[1:]), 1) if pair not in inside]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+
+    def word(self, word: str) -> tuple[list[str], list[int]]:
+        """Tokens and ids of a piece: each fragment merged on its own; only the last one has the end mark."""
+        *middle, last = self.fragments(word)
+        found = [token for fragment in middle for token in self.middle.tokenize(fragment)] + self.last.tokenize(last)
+        return [t.value for t in found], [t.id for t in found]
 
     def pieces(self, part: str):
         """Normalised pieces, bytes as characters; plain letters and signs need no call of the library."""
@@ -141,35 +95,31 @@ class Encoder:
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
         """Ids and decoded text of a stretch without white space."""
-        tokens, ids = [], []
+        tokens, ids, words = [], [], self.words.turn()
         for part in self.special.split(chunk) if self.special.search(chunk) else [chunk]:
             if part in self.added:
                 tokens.append(part)
                 ids.append(self.added[part])
             elif part:
                 for piece in self.pieces(part):
-                    got = self.words.get(piece)
-                    if got is None:
-                        found = self.word(piece)
-                        got = found, [self.vocab.ids[t] for t in found]
+                    got = words.get(piece)
+                    if got is None and (got := self.words.again(piece)) is None:
+                        got = self.word(piece)
                         if len(piece) <= 64:
-                            self.words[piece] = got
+                            words[piece] = got
                     tokens += got[0]
                     ids += got[1]
-        return np.array(ids, "<u4").tobytes(), " ".join(tokens)
+        return pack(f"<{len(ids)}I", *ids), " ".join(tokens)
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit bytes, and the decoded text."""
-        for memory in (self.chunks, self.words, self.fragments):
-            if len(memory) > self.room:
-                memory.clear()
-        ids, tokens = [], []
+        chunks, ids, tokens = self.chunks.turn(), [], []
         for piece in SPLIT.findall(text):
-            got = self.chunks.get(piece)
-            if got is None:
+            got = chunks.get(piece)
+            if got is None and (got := self.chunks.again(piece)) is None:
                 got = self.chunk(piece)
                 if len(piece) <= 64:
-                    self.chunks[piece] = got
+                    chunks[piece] = got
             if got[0]:
                 ids.append(got[0])
                 tokens.append(got[1])

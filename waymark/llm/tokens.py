@@ -38,18 +38,36 @@ def _ranked(file: str):
     return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class Memory:
+    """A bounded memory in two halves: a full newer half becomes the older one, and what is used again comes back from it."""
+
+    def __init__(self, room: int):
+        self.room, self.new, self.old = room, {}, {}
+
+    def turn(self) -> dict:
+        if len(self.new) > self.room:
+            self.new, self.old = {}, self.new
+        return self.new
+
+    def again(self, key):
+        got = self.old.get(key)
+        if got is not None:
+            self.new[key] = got
+        return got
+
+
 class ByteEncoder:
     """
-    ``ids(text)``: ids as little-endian 32-bit bytes. The memory of pieces is emptied when full, so it is bounded.
+    ``ids(text)``: ids as little-endian 32-bit bytes. The memory of pieces is bounded.
 
     Plain pieces go through the same vocabulary as ranks, which is faster; pieces with other characters or
     with a special token through the tokenizer itself.
     """
 
     def __init__(self, file: str, room: int = 400_000):
-        self.library, self.ranked, self.room = _library(file), _ranked(file.replace(".json", ".tiktoken")), room
+        self.library, self.ranked = _library(file), _ranked(file.replace(".json", ".tiktoken"))
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
-        self.memory: dict[str, bytes] = {}
+        self.memory = Memory(room)
 
     def _piece(self, piece: str) -> bytes:
         if PLAIN.fullmatch(piece) and not self.special.search(piece):
@@ -59,12 +77,10 @@ class ByteEncoder:
         return np.array(found, "<u4").tobytes() if len(found) > 64 else pack(f"<{len(found)}I", *found)
 
     def ids(self, text: str) -> bytes:
-        memory, out = self.memory, []
-        if len(memory) > self.room:
-            memory.clear()
+        memory, out = self.memory.turn(), []
         for piece in PIECE.findall(text):
             got = memory.get(piece)
-            if got is None:
+            if got is None and (got := self.memory.again(piece)) is None:
                 got = self._piece(piece)
                 if len(piece) <= 64:
                     memory[piece] = got
