@@ -124,3 +124,22 @@ def test_secrets_are_hidden_at_any_depth(spark):
     out = one(spark, doc, scrub.scrub_json)
     assert "s3cret" not in out and "t0ps" not in out and "q@w.e" not in out
     assert json.loads(out)["a"]["b"]["c"]["d"]["e"]["n"] == 5
+
+
+def test_scrub_json_hides_nested_values_below_six_levels(spark):
+    import json
+
+    held = [
+        '{"password":{"x":{"y":"s3cret"}}}', '{"token":[["s3cret"],[{"z":"s3cret"}]]}', '{"email":{"a":{"b":["s3cret"]}}}',
+        '{"list":[[{"secret":{"deep":{"er":"s3cret"}}}]]}', '{"note":["password=s3cret"]}',
+    ]
+    for value in held:
+        doc = '{"l1":{"l2":{"l3":{"l4":{"l5":{"l6":' + value + '}}}}},"n":1.50,"twice":1,"twice":{"key":"s3cret"}}'
+        out = one(spark, doc, scrub.scrub_json)
+        assert "s3cret" not in out and '"n":1.50' in out and json.loads(out)["l1"]["l2"]["l3"]["l4"]["l5"]["l6"]
+    long = one(spark, '{"a":{"b":{"c":{"d":{"e":{"prompt":"' + "k" * 250 + '"}}}}}}', scrub.scrub_json)
+    assert "k" * 200 + "...[truncated 50 chars]" in long
+    deep = one(spark, '{"a":' * 900 + '{"pass":{"x":"s3cret"}}' + "}" * 900, scrub.scrub_json)
+    assert deep == '{"a":' * 900 + '{"pass":"***REDACTED***"}' + "}" * 900
+    assert one(spark, "{'token': 't', 'n': 1}", scrub.scrub_json) == '{"token":"***REDACTED***","n":1}'
+    assert one(spark, "[1", scrub.scrub_json) is None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -56,58 +57,74 @@ def scrub_fields(fields: Column, production: bool = True) -> Column:
     return F.transform_values(fields, lambda k, v: scrub_value(k, v, production))
 
 
-def hide_members(value: Column, production: bool) -> Column:
-    """JSON text with the value of every sensitive name replaced, at any level: a scalar, or a list or object of scalars."""
-    scalar = r'"(?:[^"\\]|\\.)*"|[^\s,\[\]{}"]+'
-    for names, mark in ((SENSITIVE_KEYS, REDACTED),) + (((PII_KEYS, PII_MASKED),) if production else ()):
-        keys = "|".join(re.escape(k) for k in names)
-        value = F.regexp_replace(value, rf'(?i)"({keys})"\s*:\s*(?:{scalar}|\{{[^{{}}]*\}}|\[[^\[\]]*\])', f'"$1":"{mark}"')
-    return value
-
-
-def scrub_json(doc: Column, production: bool = True, depth: int = 3) -> Column:
+class _Bare(str):
+    """A number, or a word such as NaN, as the document spells it."""
+
+
+class _Members(list):
+    """Names and values of an object, in order; repeated names stay."""
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=_Members, parse_int=_Bare, parse_float=_Bare, parse_constant=_Bare, strict=False)
+_RULES = [(re.compile(p, re.ASCII), re.sub(r"\$(\d)", r"\\g<\1>", r)) for p, r in TEXT_RULES]
+
+
+def _decoded(doc: str | None):
+    if doc is None:
+        return None
+    try:
+        found = _DECODER.raw_decode(doc.lstrip())[0]
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, _Members) else None
+
+
+def _scrubbed(root: _Members, production: bool) -> str:
+    """The object as text; a stack of what is still to be written stands in for recursion."""
+    hidden = dict.fromkeys(PII_KEYS, PII_MASKED) if production else {}
+    hidden |= dict.fromkeys(SENSITIVE_KEYS, REDACTED)
+    said, left = [], [("", root)]
+    while left:
+        at = left.pop()
+        if isinstance(at, str):
+            said.append(at)
+            continue
+        name, value = at
+        low = name.lower()
+        if low in hidden:
+            said.append(f'"{hidden[low]}"')
+        elif isinstance(value, list):
+            is_object = isinstance(value, _Members)
+            said.append("{" if is_object else "[")
+            parts = []
+            for n, item in enumerate(value):
+                head = "," * (n > 0)
+                parts += [head + json.dumps(item[0], ensure_ascii=False) + ":", item] if is_object else [head, (name, item)]
+            left += ["}" if is_object else "]", *reversed(parts)]
+        elif isinstance(value, str) and not isinstance(value, _Bare):
+            if low in PROMPT_KEYS and len(value) > PROMPT_LIMIT:
+                value = f"{value[:PROMPT_LIMIT]}...[truncated {len(value) - PROMPT_LIMIT} chars]"
+            else:
+                for pattern, replacement in _RULES:
+                    value = pattern.sub(replacement, value)
+            said.append(json.dumps(value, ensure_ascii=False))
+        else:
+            said.append(value if isinstance(value, _Bare) else json.dumps(value))
+    return "".join(said).encode("utf-8", "replace").decode()
+
+
+def scrub_json(doc: Column, production: bool = True) -> Column:
     """
-    JSON object text of any shape, scrubbed member by member down to ``depth`` levels.
+    JSON object text of any shape and depth, scrubbed member by member; null when it is not an object.
 
-    Members of arrays keep the name of the array. Objects nested deeper than ``depth`` are scrubbed
-    as text, after the values of sensitive names in them are replaced at whatever level they stand.
+    Members of arrays keep the name of the array. Spark's reader has a second try at what Python's refuses, such as single quotes.
     """
-    members = F.from_json(doc, "map<string,string>")
-
-    def member(key: Column, value: Column) -> Column:
-        hidden = F.lower(key).isin(SENSITIVE_KEYS + (PII_KEYS if production else []))
-        is_object = value.rlike(r"^\s*\{")
-        is_array = value.rlike(r"^\s*\[")
-        flat = scrub_value(key, value, production)
-        if depth <= 1:
-            deep = scrub_value(key, hide_members(value, production), production)
-            return F.when(~hidden & (is_object | is_array), deep).otherwise(flat)
-        inner = scrub_json(value, production, depth - 1)
-        items = F.from_json(value, "array<string>")
-        listed = F.concat(
-            F.lit("["),
-            F.array_join(F.transform(items, lambda x: F.when(
-                x.rlike(r"^\s*\{"), scrub_json(x, production, depth - 1)
-            ).otherwise(json_string(scrub_value(key, x, production)))), ","),
-            F.lit("]"),
-        )
-        return F.when(hidden, flat).when(is_object, inner).when(is_array & items.isNotNull(), listed).otherwise(flat)
-
-    def rendered(key: Column, value: Column) -> Column:
-        out = member(key, value)
-        nested = value.rlike(r"^\s*[\{\[]") & out.rlike(r"^\s*[\{\[]")
-        # a number or truth value stays one when the document holds it unquoted
-        bare = (out == value) & value.rlike(r"^(-?\d[\d.eE+\-]*|true|false)$") & (
-            F.instr(F.regexp_replace(doc, r"\s*:\s*", ":"), F.concat(F.lit('"'), key, F.lit('":'), value)) > 0
-        )
-        text = F.when(value.isNull(), F.lit("null")).when(nested | bare, out).otherwise(json_string(out))
-        return F.concat(json_string(key), F.lit(":"), text)
-
-    pairs = F.transform(F.map_entries(members), lambda e: rendered(e["key"], e["value"]))
-    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
-
-
-def json_string(value: Column) -> Column:
-    """Text as a JSON string literal."""
-    wrapped = F.to_json(F.struct(value.alias("v")))
-    return F.coalesce(F.regexp_extract(wrapped, r'(?s)^\{"v":(.*)\}$', 1), F.lit("null"))
+
+    @F.udf("string")
+    def scrubbed(text, lenient):
+        found = _decoded(text)
+        found = _decoded(lenient) if found is None else found
+        return None if found is None else _scrubbed(found, production)
+
+    wrapped = F.from_json(F.concat(F.lit('{"v":'), doc, F.lit("}")), "map<string,string>")
+    return scrubbed(doc, F.when(F.try_parse_json(doc).isNull(), F.try_element_at(wrapped, F.lit("v"))))
