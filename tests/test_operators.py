@@ -199,3 +199,18 @@ def test_critical_mutes_warning(spark):
     df = spark.createDataFrame([(ts, "a", "c", "s", "critical"), (ts, "a", "c", "s2", "warning"), (ts, "b", "c", "s", "warning")],
                                "ts timestamp, alertname string, cluster string, service string, severity string")
     assert sorted((r["alertname"], r["service"]) for r in alerts.group_alerts(df).collect()) == [("a", "s"), ("b", "s")]
+
+
+@pytest.mark.parametrize("said, queries", [
+    ('x {"query": "a", "query": "b"} y', ["b"]),
+    ('{"query": "a", "n": NaN}', ["a"]),
+    ('{"query": "a", "query": "b", "n": {"k": 1, "k": 2}}', ["b"]),
+    ('[{"query": "a", "query": "b"}, {"query": "c"}]', ["b", "c"]),
+    ('{"test_cases": [{"query": "a", "query": "b"}, {"query": "c"}]}', ["b", "c"]),
+    ('{"query": "a", "query": "b"} } {"query": "c"}', ["b"]),
+    ('{"query": "a", "query": "b"} , {"query": "c", "n": NaN}', ["b", "c"]),
+])
+def test_salvage_keeps_repeated_names_and_nan(spark, said, queries):
+    df = spark.createDataFrame([(1, said)], "id int, raw string")
+    got = cases.salvage_json_cases(df, "raw", ["id"]).orderBy("case_no").select(F.try_element_at("fields", F.lit("query")).alias("q")).collect()
+    assert [r["q"] for r in got] == queries
