@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, exact_dedup, lattice, lengths, lines, packing, simhash, topk, toxicity, warc
+from waymark.llm import bpe, exact_dedup, lattice, lengths, lines, matrix, packing, simhash, token_files, topk, toxicity, warc
 from waymark.session import prepare
 
 
@@ -54,8 +54,17 @@ def op10_token_counts(spark, sf_dir):
     return lengths.limits(lengths.histogram(table(spark, sf_dir, "documents")))
 
 
+def op11_token_files(spark, sf_dir):
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return matrix.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_exact_dedup, op3_warc, op4_lattice_score, op5_bit_sliced_topk, op6_bpe, op7_simhash, op8_packing, op9_line_dedup, op10_token_counts,
+    op11_token_files, op12_filter_audit,
 )}
 
 ORACLES = {
@@ -90,4 +99,31 @@ ORACLES = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM j GROUP BY doc_id
     """,
+    "op12_filter_audit": """
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+        l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                     CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+                     || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+                     || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN first < w.doc_id THEN 'E' ELSE '' END AS failed
+              FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+        o AS (SELECT a.c || b.c || d.c || e.c || g.c AS filter_order FROM x a JOIN x b ON b.c <> a.c JOIN x d ON d.c NOT IN (a.c, b.c)
+              JOIN x e ON e.c NOT IN (a.c, b.c, d.c) JOIN x g ON g.c NOT IN (a.c, b.c, d.c, e.c)),
+        s AS (SELECT filter_order, CAST(i AS INTEGER) AS step, filter_order[i] AS letter, left(filter_order, i - 1) AS earlier FROM o, range(1, 6) r(i)),
+        m AS (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, failed),
+        j AS (SELECT part, filter_order, step, letter, n, good, toxic, contains(failed, letter) AS fails, failed = letter AS alone,
+                     length(earlier) > 0 AND translate(failed, earlier, '') <> failed AS gone
+              FROM m, s),
+        r AS (SELECT part, filter_order, step, any_value(letter) AS letter, sum(n) FILTER (WHERE NOT gone AND NOT fails) AS kept, sum(n) FILTER (WHERE NOT gone AND fails) AS removed,
+                     sum(n) FILTER (WHERE gone AND fails) AS redundant, sum(n) FILTER (WHERE alone) AS unique_fails,
+                     sum(good) FILTER (WHERE NOT gone AND fails) AS good_lost, sum(toxic) FILTER (WHERE NOT gone AND fails) AS toxic_lost
+              FROM j GROUP BY part, filter_order, step)
+        SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+               CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+               CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley
+        FROM r
+    """,
 }
