@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, exact_dedup, lattice, lengths, lines, matrix, packing, simhash, token_files, topk, toxicity, warc
+from waymark.llm import bpe, exact_dedup, lattice, lengths, lines, matrix, packing, phrases, simhash, token_files, topk, toxicity, warc
 from waymark.session import prepare
 
 
@@ -62,9 +62,13 @@ def op12_filter_audit(spark, sf_dir):
     return matrix.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_exact_dedup, op3_warc, op4_lattice_score, op5_bit_sliced_topk, op6_bpe, op7_simhash, op8_packing, op9_line_dedup, op10_token_counts,
-    op11_token_files, op12_filter_audit,
+    op11_token_files, op12_filter_audit, op13_collocations,
 )}
 
 ORACLES = {
@@ -126,4 +130,23 @@ ORACLES = {
                CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley
         FROM r
     """,
+    "op13_collocations": """
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        q AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+        m AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM q GROUP BY lang),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS p FROM q, (SELECT unnest([1, 2, 3, 4]) AS k)),
+        f AS (SELECT lang, k, p, count(*) AS f FROM g GROUP BY lang, k, p HAVING count(*) >= 30),
+        s AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS w FROM f WHERE k > 1),
+        c AS (SELECT lang, k, p, a, j, array_to_string(w[1:j], ' ') AS u, array_to_string(w[j + 1:k], ' ') AS v FROM (SELECT *, unnest(range(1, k)) AS j FROM s)),
+        e AS (SELECT c.lang, c.k, c.p, c.a, c.j, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+              FROM c JOIN f x ON x.lang = c.lang AND x.p = c.u JOIN f y ON y.lang = c.lang AND y.p = c.v),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, j) AS nth FROM e),
+        t AS (SELECT lang, a AS af, unnest(list_transform(range(1, k - z + 2), lambda i: array_to_string(list_slice(w, i, i + z - 1), ' '))) AS p FROM s JOIN (SELECT unnest([2, 3]) AS z) ON z < k),
+        o AS (SELECT lang, p, max(af) AS af FROM t GROUP BY lang, p),
+        r AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.p) AS rank, b.p AS phrase, a, l, r, score
+              FROM b LEFT JOIN o ON o.lang = b.lang AND o.p = b.p
+              WHERE nth = 1 AND (o.af IS NULL OR CAST(100 AS HUGEINT) * o.af < CAST(80 AS HUGEINT) * a))
+        SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN m ON m.lang = r.lang WHERE rank <= 2000
+    """,
 }
