@@ -11,7 +11,7 @@ from waymark.plans.retrieval import DEDUP_SQL, THRESHOLD
 from waymark.plans.roles import ROLES, role
 from waymark.plans.scalar import LOG_LINE
 from waymark.session import fresh_path
-from waymark.streaming import alerts, breaker, logs
+from waymark.streaming import alerts, breaker, holds, logs
 from waymark.streaming.runner import dedup_stream, drain, read_stream
 
 
@@ -249,6 +249,55 @@ def _(spark, sf_dir):
     return alerts.group_alerts(spark.sql(_ALERTS, events=table(spark, sf_dir, "events")), interval=12 * 3600)
 
 
+# --- alerts on the stream, with their holding time -------------------------------------------------------
+
+def _changes_sql(windows: str, condition: str, hold: int, group: str = "", step: int = 30) -> str:
+    """Runs over the windows that the watermark has passed: fired once they last, resolved once a step without a hit has passed."""
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group}" if group else ""
+    passed = "(SELECT (epoch_ms(max(ts)) - 600000) / 1000.0 FROM events)"
+    return f"""
+    WITH held AS (SELECT *, evaluated_at - {step} * row_number() OVER ({part} ORDER BY evaluated_at) AS run FROM ({windows}) WHERE {condition} AND evaluated_at <= {passed}),
+    runs AS (SELECT {g}CAST(min(evaluated_at) AS BIGINT) * 1000000 AS a, CAST(max(evaluated_at) AS BIGINT) * 1000000 AS z FROM held GROUP BY {g}run HAVING max(evaluated_at) - min(evaluated_at) >= {hold})
+    SELECT {g}state, make_timestamp(a) AS started_at, make_timestamp(a + CAST({hold} AS BIGINT) * 1000000) AS fired_at, CASE WHEN state = 'resolved' THEN make_timestamp(z) END AS last_at
+    FROM runs, (SELECT unnest(['firing', 'resolved']) AS state) WHERE state = 'firing' OR z / 1000000 + {step} <= {passed}"""
+
+
+@query("error_ratio_alert_changes_stream", _changes_sql(_RATIO, "ratio > 0.05", 240))
+def _(spark, sf_dir):
+    # the events given are minutes apart, so alerts are held for four
+    return drain(holds.ratio_alert(stream_role(spark, sf_dir, "http"), server_error(), **{**alerts.ERROR_RATIO, "hold": 240}), "ratio-changes")
+
+
+@query("task_failure_alert_stream", _changes_sql(_slide_sql("count(*) FILTER (status_code <> 200) / count(*) AS ratio", 600, "path"), "ratio > 0.1", 300, "path"))
+def _(spark, sf_dir):
+    http = stream_role(spark, sf_dir, "http")
+    return drain(holds.ratio_alert(http, F.col("status_code") != 200, group=["path"], **alerts.TASK_FAILURES), "task-changes")
+
+
+@query("rate_limit_alert_stream", _changes_sql(_slide_sql("count(*) FILTER (status_code = 429) / 300 AS rate", 300), "rate > 0.003", 120))
+def _(spark, sf_dir):
+    return drain(holds.rate_alert(stream_role(spark, sf_dir, "http"), F.col("status_code") == 429, bound=0.003, window=300, hold=120), "rate-changes")
+
+
+@query("latency_quantile_alert_stream", _changes_sql(f"SELECT path, evaluated_at, {_quantile_case(0.99)} AS quantile FROM ({_slide_sql(_LE, 300, 'path')})", "quantile > 5000", 240, "path"))
+def _(spark, sf_dir):
+    http = stream_role(spark, sf_dir, "http")
+    return drain(holds.quantile_alert(http, "duration_ms", BUCKETS["http"], **{**alerts.SLOW_PATHS, "hold": 240}, group=["path"]), "quantile-changes")
+
+
+@query("login_failure_alert_stream", _changes_sql(_LOGINS, "n > 1", 3600, "path", 3600))
+def _(spark, sf_dir):
+    http = stream_role(spark, sf_dir, "http")
+    return drain(holds.count_alert(http, F.col("status_code") != 200, bound=1, window=3600, hold=3600, group=["path"]), "login-changes")
+
+
+@query("gauge_threshold_alert_stream", _changes_sql(_GAUGES, "value > 4000", 1800, "path", 1800))
+def _(spark, sf_dir):
+    samples = stream_role(spark, sf_dir, "http").withColumnRenamed("duration_ms", "value")
+    return drain(holds.gauge_alert(samples, F.col("value") > 4000, 1800, ["path"], step=1800), "gauge-changes")
+
+
 # --- spans ----------------------------------------------------------------------------------------------
 
 _STARTS = "SELECT event_id AS span_id, event_type AS name, ts AS started_at FROM {events}"

@@ -77,25 +77,33 @@ def count_alert(df: DataFrame, counted: Column, bound: float, window: int, hold:
     return sustained(count_windows(df, counted, window, group), F.col("n") > bound, "evaluated_at", window, hold, group)
 
 
-def quantile_slices(df: DataFrame, value: str, bounds: Sequence[float], group: Sequence[str], step: int = STEP) -> DataFrame:
-    """Cumulative bucket counts per slice, one column per boundary."""
-    sums = {f"le_{i}": F.count_if(F.col(value) <= b) for i, b in enumerate(bounds)} | {"le_inf": F.count(value)}
-    return slices(df, group, sums, step)
+def bin_counts(value: str, bounds: Sequence[float]) -> dict[str, Column]:
+    """Cumulative bucket counts, one per boundary."""
+    return {f"le_{i}": F.count_if(F.col(value) <= b) for i, b in enumerate(bounds)} | {"le_inf": F.count(value)}
 
 
-def quantile_windows(cut: DataFrame, bounds: Sequence[float], q: float, window: int, group: Sequence[str], step: int = STEP) -> DataFrame:
-    """Histogram quantile of each sliding window: (group..., evaluated_at, quantile)."""
-    names = [*[f"le_{i}" for i in range(len(bounds))], "le_inf"]
-    h = slide(cut, group, names, window, step)
+def bin_quantile(bounds: Sequence[float], q: float) -> Column:
+    """The quantile that cumulative bucket counts give, interpolated inside the bin that holds it."""
     rank = F.col("le_inf") * q
     out, low, below = None, F.lit(0.0), F.lit(0)
-    for name, bound in zip(names, [*bounds, INF]):
+    for name, bound in zip([*[f"le_{i}" for i in range(len(bounds))], "le_inf"], [*bounds, INF]):
         n = F.col(name)
         inside = low if bound == INF else low + (F.lit(float(bound)) - low) * (rank - below) / (n - below)
         hit = (n >= rank) & (n > 0)
         out = F.when(hit, inside) if out is None else out.when(hit, inside)
         low, below = F.lit(float(bound)), n
-    return h.select(*group, "evaluated_at", out.alias("quantile"))
+    return out
+
+
+def quantile_slices(df: DataFrame, value: str, bounds: Sequence[float], group: Sequence[str], step: int = STEP) -> DataFrame:
+    """Cumulative bucket counts per slice, one column per boundary."""
+    return slices(df, group, bin_counts(value, bounds), step)
+
+
+def quantile_windows(cut: DataFrame, bounds: Sequence[float], q: float, window: int, group: Sequence[str], step: int = STEP) -> DataFrame:
+    """Histogram quantile of each sliding window: (group..., evaluated_at, quantile)."""
+    names = [*[f"le_{i}" for i in range(len(bounds))], "le_inf"]
+    return slide(cut, group, names, window, step).select(*group, "evaluated_at", bin_quantile(bounds, q).alias("quantile"))
 
 
 def quantile_alert(df: DataFrame, value: str, bounds: Sequence[float], q: float, bound: float, window: int, hold: int, group: Sequence[str], step: int = STEP) -> DataFrame:
