@@ -18,10 +18,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from waymark.session import checkpointed
+
 # Failures that trip, seconds blocked, seconds a failure counts, life of the mark.
 THRESHOLD, RECOVERY, FAILURE_WINDOW = 5, 30, 60
 MARK_LIFE, PROBE_LIFE = RECOVERY * 3, RECOVERY // 2
 MICROS = 1_000_000
+# Outcomes of one segment of the scan over ordered outcomes.
+SEGMENT_ROWS = 1_000_000
 
 BURST_DDL = "name bigint, event_id bigint, ts timestamp, failures bigint"
 TIMELINE_DDL = "name bigint, event_id bigint, ts timestamp, state string, admitted boolean, failures bigint, tripped boolean"
@@ -95,25 +99,66 @@ def thin_outcomes(outcomes: DataFrame) -> DataFrame:
     return near.unionByName(first)
 
 
-def failure_counts(outcomes: DataFrame) -> DataFrame:
-    """Each failure with its number in the burst: a gap over the window or a success starts anew."""
-    order = W.partitionBy("name").orderBy("ts", "event_id")
+def _segments(outcomes: DataFrame, rows_each: int) -> DataFrame:
+    """
+    Outcomes in order, cut into ranges of (name, ts, event_id) of about ``rows_each`` rows whatever the names: columns
+    ``_part``, ``_run`` (0 for what may go on from the segment before) and ``_n``, the number in the run inside the segment.
+    """
+    order = ["name", "ts", "event_id"]
     thin = thin_outcomes(outcomes)
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order)) >= FAILURE_WINDOW * MICROS
-    starts = F.col("success") | F.coalesce(gap, F.lit(True)) | F.coalesce(F.lag("success").over(order), F.lit(True))
-    marked = thin.withColumn("_start", starts.cast("int")).withColumn("_run", F.sum("_start").over(order))
-    inside = W.partitionBy("name", "_run").orderBy("ts", "event_id")
-    return marked.filter(~F.col("success")).select("name", "event_id", "ts", F.row_number().over(inside).cast("bigint").alias("failures"))
+    parts = max(1, -(-thin.count() // rows_each))
+    dealt = thin.select(*order, "success").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    cut = checkpointed(dealt.withColumn("_part", F.spark_partition_id()))
+    segment = W.partitionBy("name", "_part").orderBy("ts", "event_id")
+    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(segment)) >= FAILURE_WINDOW * MICROS
+    # A segment's first outcome starts a run only if it is a success; a failure there may go on.
+    starts = F.col("success") | F.coalesce(gap | F.lag("success").over(segment), F.lit(False))
+    marked = cut.withColumn("_run", F.sum(starts.cast("int")).over(segment))
+    inside = W.partitionBy("name", "_part", "_run").orderBy("ts", "event_id")
+    return marked.withColumn("_n", F.sum((~F.col("success")).cast("bigint")).over(inside))
+
+
+def _numbered(outcomes: DataFrame, rows_each: int) -> DataFrame:
+    """
+    Failures with ``failures``, their number in the burst, and ``_burst``, which names the burst within its name.
+
+    One summary a segment says whether it opens a run, how long its last run is and whether its first outcome goes on
+    from the segment before; sums over the summaries, as many as segments, carry runs across.
+    """
+    marked = checkpointed(_segments(outcomes, rows_each))
+    first, last = F.struct("ts", "event_id"), F.struct("_run", "ts", "event_id")
+    parts = marked.groupBy("name", "_part").agg(
+        F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.min_by("success", first).alias("_opens"), F.max_by("success", first).alias("_closes"),
+        F.max("_run").alias("_last"), F.max_by("_n", last).alias("_tail"),
+    )
+    by_name = W.partitionBy("name").orderBy("_part")
+    near = F.unix_micros("_from") - F.unix_micros(F.lag("_to").over(by_name)) < FAILURE_WINDOW * MICROS
+    linked = parts.withColumn("_linked", F.coalesce(near & ~F.col("_opens") & ~F.lag("_closes").over(by_name), F.lit(False)))
+    chained = linked.withColumn("_chain", F.sum(((F.col("_last") > 0) | ~F.col("_linked")).cast("int")).over(by_name))
+    so_far = chained.withColumn("_held", F.sum("_tail").over(W.partitionBy("name", "_chain").orderBy("_part")))
+    carried = so_far.select(
+        "name", "_part", "_last", "_linked", "_chain",
+        F.when(F.col("_linked"), F.lag("_held").over(by_name)).otherwise(0).alias("_carry"), F.lag("_chain").over(by_name).alias("_before"),
+    )
+    # A run at a segment's edge goes by its chain, one inside by its segment and number.
+    goes_on = (F.col("_run") == 0) & F.col("_linked")
+    chain = F.when(goes_on, F.col("_before")).when(F.col("_run") == F.col("_last"), F.col("_chain"))
+    inner = F.when(chain.isNull(), F.struct("_part", "_run"))
+    joined = marked.filter(~F.col("success")).join(carried, ["name", "_part"])
+    return joined.select(
+        "name", "event_id", "ts", (F.col("_n") + F.when(F.col("_run") == 0, F.col("_carry")).otherwise(0)).alias("failures"), F.struct(chain.alias("chain"), inner.alias("inner")).alias("_burst")
+    )
+
+
+def failure_counts(outcomes: DataFrame, rows_each: int = SEGMENT_ROWS) -> DataFrame:
+    """Each failure with its number in the burst: a gap over the window or a success starts anew."""
+    return _numbered(outcomes, rows_each).select("name", "event_id", "ts", "failures")
 
 
-def failure_bursts(outcomes: DataFrame, n: int = THRESHOLD) -> DataFrame:
+def failure_bursts(outcomes: DataFrame, n: int = THRESHOLD, rows_each: int = SEGMENT_ROWS) -> DataFrame:
     """Bursts that reach n failures: (name, started_at, last_at, failures)."""
-    counts = failure_counts(outcomes)
-    burst = W.partitionBy("name").orderBy("ts", "event_id")
-    grouped = counts.withColumn("_b", F.sum((F.col("failures") == 1).cast("int")).over(burst))
-    return grouped.groupBy("name", "_b").agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_at"), F.max("failures").alias("failures")).filter(
-        F.col("failures") >= n
-    ).drop("_b")
+    grouped = _numbered(outcomes, rows_each).groupBy("name", "_burst").agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_at"), F.max("failures").alias("failures"))
+    return grouped.filter(F.col("failures") >= n).drop("_burst")
 
 
 def breaker_timeline(outcomes: DataFrame, thin: bool = True) -> DataFrame:
