@@ -1,6 +1,7 @@
 """Catalogue lifecycle, breaker, percentiles, extraction, sources."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,6 +188,35 @@ def test_required_flag_and_types(spark):
     assert {r["t_id"] for r in rows} == {1} and [r["field"] for r in rows if r["required"]] == ["order_id"]
 
 
+def test_schema_fields_twelve_levels_down(spark):
+    def nested(n):
+        if n == 0:
+            return {"type": "string", "enum": ["a", "b"]}
+        inner = {"type": "object", "required": ["x"], "properties": {"x": nested(n - 1), f"y{n}": {"type": ["null", "integer"]}}}
+        return inner if n % 3 else {"type": "array", "items": inner}
+
+    top = {"properties": {"x": nested(11), "z": {"format": "email"}}}
+    t = spark.createDataFrame([(1, json.dumps(top)), (1, json.dumps(top)), (2, "[1]"), (None, '{"properties": {"q": {}}}')], "t_id int, json_schema string")
+    rows = templates.schema_fields(t).collect()
+
+    def walk(schema, prefix):
+        for name, spec in schema.get("properties", {}).items():
+            yield prefix + name
+            if spec.get("type") == "object":
+                yield from walk(spec, f"{prefix}{name}.")
+            elif spec.get("type") == "array":
+                yield from walk(spec["items"], f"{prefix}{name}[].")
+
+    want = list(walk(top, ""))
+    assert max(f.count(".") for f in want) == 11
+    # The template that is there twice is walked twice.
+    assert sorted((r["ordinal"], r["field"]) for r in rows if r["t_id"] == 1) == sorted([*enumerate(want)] * 2)
+    assert [(r["ordinal"], r["field"], r["type"]) for r in rows if r["t_id"] is None] == [(0, "q", "string")]
+    assert not [r for r in rows if r["t_id"] == 2]
+    assert {r["field"] for r in templates.schema_fields(t, 2).collect()} == {f for f in want if f.count(".") < 2} | {"q"}
+    assert templates.schema_fields(t.limit(0)).count() == 0
+
+
 def test_sustained_needs_an_unbroken_run(spark):
     at = [0, 30, 60, 120, 150]
     df = spark.createDataFrame([(dt.datetime.fromtimestamp(s, UTC), 1.0) for s in at], "at timestamp, v double")

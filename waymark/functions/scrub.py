@@ -120,7 +120,7 @@ def scrub_json(doc: Column, production: bool = True) -> Column:
     Members of arrays keep the name of the array. Spark's reader has a second try at what Python's refuses, such as single quotes.
     """
 
-    @F.udf("string")
+    @F.udf("string", useArrow=True)
     def scrubbed(text, lenient):
         found = _decoded(text)
         found = _decoded(lenient) if found is None else found

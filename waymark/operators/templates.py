@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.operators.scoping import equality_filters
+from waymark.session import checkpointed
 
 # Least size of each part of a template, and the approval states.
 MIN_DESCRIPTION_WORDS = 500
@@ -20,53 +24,55 @@ def _type_of(spec: Column) -> Column:
     return F.coalesce(F.when(raw.rlike(r"^\s*\["), F.try_element_at(many, F.lit(1))).otherwise(raw), F.lit("string"))
 
 
-def _fields(schema: Column, prefix: Column, depth: int) -> Column:
+def _members(schema: Column) -> Column:
+    """The fields a schema declares itself: name, spec (its text) and whether it is required."""
     members = F.map_entries(F.from_json(F.get_json_object(schema, "$.properties"), "map<string,string>"))
     required = F.coalesce(F.from_json(F.get_json_object(schema, "$.required"), "array<string>"), F.array().cast("array<string>"))
+    return F.transform(members, lambda e: F.struct(e["key"].alias("name"), e["value"].alias("spec"), F.array_contains(required, e["key"]).alias("required")))
 
-    def one(entry: Column) -> Column:
-        spec, path = entry["value"], F.concat(prefix, entry["key"])
-        kind = _type_of(spec)
-        field = F.array(F.struct(
-            path.alias("field"), kind.alias("type"), F.get_json_object(spec, "$.format").alias("format"),
-            F.from_json(F.get_json_object(spec, "$.enum"), "array<string>").alias("enum"),
-            F.array_contains(required, entry["key"]).alias("required"),
-        ))
-        if depth <= 1:
-            return field
-        inner = F.when(kind == "object", _fields(spec, F.concat(path, F.lit(".")), depth - 1)).when(
-            (kind == "array") & (F.get_json_object(spec, "$.items.type") == "object"),
-            _fields(F.get_json_object(spec, "$.items"), F.concat(path, F.lit("[].")), depth - 1),
-        )
-        return F.when(inner.isNotNull(), F.concat(field, inner)).otherwise(field)
 
-    return F.flatten(F.transform(members, one))
+def _declared(path: Column, spec: Column, required: Column) -> Column:
+    return F.struct(
+        path.alias("field"), _type_of(spec).alias("type"), F.get_json_object(spec, "$.format").alias("format"),
+        F.from_json(F.get_json_object(spec, "$.enum"), "array<string>").alias("enum"), required.alias("required"),
+    )
 
 
-def fields_array(schema: Column, depth: int = 1) -> Column:
-    """ARRAY<STRUCT<field, type, format, enum, required>> of a JSON Schema text, nested paths down to ``depth``."""
+def fields_array(schema: Column) -> Column:
+    """ARRAY<STRUCT<field, type, format, enum, required>> of the fields a JSON Schema text declares at its top."""
     empty = "array<struct<field:string,type:string,format:string,enum:array<string>,required:boolean>>"
-    return F.coalesce(_fields(schema, F.lit(""), depth), F.array().cast(empty))
+    return F.coalesce(F.transform(_members(schema), lambda m: _declared(m["name"], m["spec"], m["required"])), F.array().cast(empty))
 
 
 def schema_fields(templates: DataFrame, depth: int | None = None) -> DataFrame:
     """
-    One row per field of each template's request schema, in declared order, at every depth.
+    One row per field of each template's request schema, in declared order, at every depth or down to ``depth``.
 
-    Without ``depth`` the deepest schema is measured first: each level of fields opens two braces.
+    Schemas are walked level by level: the rows of one level are the nested schemas found in the one before, kept in the
+    shared folder, so the plan of a level is the same however deep it lies. A field is followed by the fields inside it.
     """
-    if depth is None:
-        braces = F.regexp_extract_all(F.coalesce("json_schema", F.lit("")), F.lit("[{}]"), F.lit(0))
-        start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-        def step(a, brace):
-            now = a["now"] + F.when(brace == "{", 1).otherwise(-1)
-            return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
-
-        deepest = templates.agg(F.max(F.aggregate(braces, start, step, lambda a: a["most"]))).first()[0]
-        depth = max(1, ((deepest or 0) + 1) // 2)
-    exploded = templates.select("t_id", F.posexplode(fields_array(F.col("json_schema"), depth)).alias("ordinal", "f"))
-    return exploded.select("t_id", "ordinal", "f.*")
+    level = templates.select(
+        "t_id", F.monotonically_increasing_id().alias("_row"), F.col("json_schema").alias("_schema"), F.lit("").alias("_prefix"), F.array().cast("array<int>").alias("_place")
+    )
+    levels: list[DataFrame] = []
+    while depth is None or len(levels) < max(depth, 1):
+        each = level.select("t_id", "_row", "_prefix", "_place", F.posexplode(_members(F.col("_schema"))).alias("_n", "_m"))
+        path, spec = F.concat("_prefix", "_m.name"), F.col("_m.spec")
+        found = checkpointed(each.select(
+            "t_id", "_row", F.concat("_place", F.array("_n")).alias("_place"), spec.alias("_spec"), _declared(path, spec, F.col("_m.required")).alias("f")
+        ))
+        if levels and found.isEmpty():
+            break
+        levels.append(found)
+        items = (F.col("f.type") == "array") & (F.get_json_object("_spec", "$.items.type") == "object")
+        nested = found.filter((F.col("f.type") == "object") | items)
+        level = nested.select(
+            "t_id", "_row", F.when(items, F.get_json_object("_spec", "$.items")).otherwise(F.col("_spec")).alias("_schema"),
+            F.concat("f.field", F.when(items, "[].").otherwise(".")).alias("_prefix"), "_place",
+        )
+    order = W.partitionBy("_row").orderBy("_place")
+    rows = reduce(DataFrame.unionByName, levels).withColumn("ordinal", F.row_number().over(order) - 1)
+    return rows.select("t_id", "ordinal", "f.*")
 
 
 def validate_templates(templates: DataFrame) -> DataFrame:
