@@ -55,7 +55,8 @@ def pool_to_template(
         pooled.alias("pooled_score"), F.max("similarity").alias("vector_score"), F.count("*").alias("match_count"),
         *[F.max_by(F.substring(a, 1, 200) if a == "query" else F.col(a), best_first).alias("best_utterance" if a == "query" else a) for a in attributes],
     )
-    out = out.withColumn("pooled_score", F.round("pooled_score", 9))
+    # nine digits of the binary number: a tie of its decimal text is not one of the number
+    out = out.withColumn("pooled_score", F.round(F.col("pooled_score") * 1e9) / 1e9)
     rank = W.partitionBy(*query).orderBy(F.col("pooled_score").desc(), F.col("t_id"))
     return out.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top_k)
 
