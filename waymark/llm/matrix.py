@@ -25,13 +25,15 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from waymark.llm.common import lookup, stored
 
 FILTERS = "ABCDE"
+BUCKET_WORDS = 200_000
 
 
 class Numbers(dict):
@@ -48,14 +50,16 @@ def _sparse(batches, most, tag_type):
 
     def flush():
         indptr = np.cumsum([0, *(len(c) for c in columns)], dtype="<i8").tobytes()
-        one = [uuid.uuid4().hex, list(numbers), indptr, b"".join(c.tobytes() for c in columns), b"".join(c.tobytes() for c in counts), tags]
+        indices, data = (coder.compress(b"".join(c.tobytes() for c in held)) for held in (columns, counts))
+        one = [uuid.uuid4().hex, list(numbers), indptr, indices, data, tags]
         kinds = [pa.string(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary(), pa.list_(tag_type)]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(one, kinds)], ["shard", "words", "indptr", "indices", "data", "tags"])
 
+    coder = zstandard.ZstdCompressor(level=1)
     numbers, columns, counts, tags = opened()
     held = 0
-    for batch in batches:
-        for text, tag in zip(batch.column("text").to_pylist(), batch.column("tag").to_pylist()):
+    for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
+        for text, tag in zip(part.column("text").to_pylist(), part.column("tag").to_pylist()):
             # White space of bytes is exactly \x20 and \x09-\x0D.
             words = text.split()
             codes, n = np.unique(np.fromiter(map(numbers.__getitem__, words), "<i4", len(words)), return_counts=True)
@@ -67,27 +71,34 @@ def _sparse(batches, most, tag_type):
                 yield flush()
                 numbers, columns, counts, tags = opened()
                 held = 0
+                pa.default_memory_pool().release_unused()
     if tags:
         yield flush()
 
 
 def _renamed(batches):
+    coder = zstandard.ZstdDecompressor()
     for batch in batches:
-        out = []
-        for ids, indices in zip(batch.column("ids"), batch.column("indices")):
-            # Words of the dictionary in the order of their places in the shard.
-            names = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int64)
-            out.append(names[np.frombuffer(indices.as_py(), "<i4")].astype("<i8").tobytes())
-        kept = [batch.column(c) for c in ("shard", "indptr", "data", "tags")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary())], ["shard", "indptr", "data", "tags", "indices"])
-
-
-def document_terms(docs: DataFrame, tag: Column, most: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+        for at in range(batch.num_rows):
+            # One shard at a time.
+            place, word_id, indices, data = (batch.column(c)[at] for c in ("place", "word_id", "indices", "data"))
+            names = np.zeros(len(place.values) if place.is_valid else 0, "<i8")
+            if len(names):
+                names[place.values.to_numpy()] = word_id.values.to_numpy()
+            indices = names[np.frombuffer(coder.decompress(indices.as_py()), "<i4")].tobytes()
+            one = batch.slice(at, 1)
+            kept = [one.column(c) for c in ("shard", "indptr", "tags")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array([indices], pa.binary()), pa.array([coder.decompress(data.as_py())], pa.binary())], ["shard", "indptr", "tags", "indices", "data"]
+            )
+
+
+def document_terms(docs: DataFrame, tag: Column, most: int = 3 << 19) -> tuple[DataFrame, DataFrame]:
     """
     The matrix of ``text``, whose rows carry ``tag``, and its dictionary.
 
     Shards: shard, indptr (64-bit), indices (64-bit word numbers), data (32-bit counts), all little-endian, and tags,
-    one per row. Dictionary: word and word_id, numbered from 0 without gaps.
+    one per row. Dictionary: word and word_id. Both are read off the stored shards of local words.
     """
     rows = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), tag.alias("tag"))
     tags = rows.schema["tag"].dataType
@@ -98,18 +109,17 @@ def document_terms(docs: DataFrame, tag: Column, most: int = 1 << 20) -> tuple[D
         ), "sparse",
     )
     words = local.select("shard", F.posexplode("words").alias("place", "word"))
-    met = stored(words.select("word").distinct().withColumn("_row", F.monotonically_increasing_id()), "words")
-    # The row number names its part and its place there; sums over the parts before make it gapless. One row a part.
-    part = F.shiftright(F.col("_row"), 33)
-    parts = met.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    starts = parts.selectExpr("part", "coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) as start")
-    dictionary = stored(
-        met.withColumn("part", part).join(F.broadcast(starts), "part").select("word", (F.col("start") + F.col("_row") - F.shiftleft(F.col("part"), 33)).alias("word_id")), "dictionary"
+    # A word's number: its rank among the words of its bucket, and the bucket. One shuffle deals words to buckets of bounded size.
+    buckets = max(1, -(-(local.agg(F.sum(F.size("words"))).first()[0] or 0) // BUCKET_WORDS))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
+    numbered = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets))).select("shard", "place", "word", ((rank - 1) * buckets + F.col("bucket")).alias("word_id"))
+    dictionary = numbered.select("word", "word_id").distinct()
+    named = numbered.groupBy("shard").agg(F.collect_list(F.struct("place", "word_id")).alias("named"))
+    joined = local.select("shard", "indptr", "indices", "data", "tags").join(named, "shard", "left").select("*", "named.place", "named.word_id")
+    shards = joined.select("shard", "indptr", "indices", "data", "tags", "place", "word_id").mapInArrow(
+        _renamed, f"shard string, indptr binary, tags array<{tags.simpleString()}>, indices binary, data binary"
     )
-    named = words.join(dictionary, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "word_id"))).alias("named"))
-    joined = local.select("shard", "indptr", "indices", "data", "tags").join(named.select("shard", F.col("named.word_id").alias("ids")), "shard", "left")
-    shards = joined.mapInArrow(_renamed, f"shard string, indptr binary, data binary, tags array<{tags.simpleString()}>, indices binary")
-    return stored(shards, "shards"), dictionary
+    return shards, dictionary
 
 
 def _row_sums(batches):
@@ -126,7 +136,7 @@ def row_sums(shards: DataFrame) -> DataFrame:
     return shards.select("indptr", "data", "tags").mapInArrow(_row_sums, f"tag {tags}, words long, distinct_words long")
 
 
-def failures(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
+def failures(docs: DataFrame, most: int = 3 << 19) -> DataFrame:
     """doc_id, part and failed of each document: bit k of ``failed`` is set where it fails the filter ``FILTERS[k]``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     capitals = F.octet_length(F.regexp_replace(text, "[^A-Z]+", ""))
@@ -142,7 +152,7 @@ def failures(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
     return known.select("doc_id", "part", sum(f.cast("int") * (1 << k) for k, f in enumerate(fails)).alias("failed"))
 
 
-def audit(docs: DataFrame, labels: DataFrame, most: int = 1 << 20) -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, most: int = 3 << 19) -> DataFrame:
     """
     Per part, order of the five filters and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost and shapley.
 
