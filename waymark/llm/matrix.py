@@ -4,7 +4,8 @@ A sparse document-term matrix in shards, and the audit of how text filters overl
 Each task cuts its texts into words and keeps them as compressed sparse rows over a dictionary of its own: per shard
 the words met, and per document which of them it holds and how often. One global dictionary is made of the shards'
 dictionaries, so a word is shuffled once per shard that holds it and not once per document; it gives back the
-numbers by which each shard's columns are renamed. A shard closes at ``most`` entries and one document more.
+numbers by which each shard's columns are renamed. A shard closes at ``most`` bytes of words and their numbers, and one
+document more.
 
 The audit reads words and distinct words of a document from the sums and the entry counts of its row, adds the
 flags that need no words, counts documents by the set of filters they fail, and answers every order of the
@@ -25,6 +26,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,9 @@ from waymark.llm.common import lookup, stored
 
 FILTERS = "ABCDE"
 BUCKET_WORDS = 200_000
+MOST = 64 << 20
+# Bytes that the numbers of one word take while a shard is put together.
+WORD_COST = 40
 
 
 class Numbers(dict):
@@ -44,35 +49,51 @@ class Numbers(dict):
         return n
 
 
-def _sparse(batches, most, tag_type):
-    def opened():
-        return Numbers(), [], [], []
+def _split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts one after the other, and how many each text has."""
+    # White space of ASCII is exactly \x20 and \x09-\x0D. Text that begins or ends in it gives an empty word there.
+    pieces = pc.ascii_split_whitespace(texts.view(pa.string()))
+    words, starts = pieces.flatten(), pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+    real = pc.binary_length(words).to_numpy() > 0
+    return words.filter(pa.array(real)).view(pa.binary()), np.diff(np.r_[0, np.cumsum(real)][starts])
+
 
+def _sparse(batches, most, tag_type):
     def flush():
-        indptr = np.cumsum([0, *(len(c) for c in columns)], dtype="<i8").tobytes()
-        indices, data = (coder.compress(b"".join(c.tobytes() for c in held)) for held in (columns, counts))
-        one = [uuid.uuid4().hex, list(numbers), indptr, indices, data, tags]
-        kinds = [pa.string(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary(), pa.list_(tag_type)]
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(one, kinds)], ["shard", "words", "indptr", "indices", "data", "tags"])
+        nonlocal held, size
+        words, sizes, tags = (list(column) for column in zip(*held))
+        held, size = [], 0
+        coded = pa.concat_arrays(words).dictionary_encode()
+        sizes, n_words = np.concatenate(sizes), len(coded.dictionary)
+        # Row and column in one number; equal ones lie together once sorted.
+        entries, data = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n_words + coded.indices.to_numpy(), return_counts=True)
+        rows, indices = np.divmod(entries, max(n_words, 1))
+        indptr = np.searchsorted(rows, np.arange(len(sizes) + 1)).astype("<i8").tobytes()
+        packed = [coder.compress(x.astype("<i4").tobytes()) for x in (indices, data)]
+        one = [pa.array([uuid.uuid4().bytes], pa.binary()), listed(coded.dictionary), *(pa.array([x], pa.binary()) for x in (indptr, *packed)), listed(pa.concat_arrays(tags).cast(tag_type))]
+        return pa.RecordBatch.from_arrays(one, ["shard", "words", "indptr", "indices", "data", "tags"])
+
+    def listed(values):
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
     coder = zstandard.ZstdCompressor(level=1)
-    numbers, columns, counts, tags = opened()
-    held = 0
+    held, size = [], 0
     for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
-        for text, tag in zip(part.column("text").to_pylist(), part.column("tag").to_pylist()):
-            # White space of bytes is exactly \x20 and \x09-\x0D.
-            words = text.split()
-            codes, n = np.unique(np.fromiter(map(numbers.__getitem__, words), "<i4", len(words)), return_counts=True)
-            columns.append(codes)
-            counts.append(n.astype("<i4"))
-            tags.append(tag)
-            held += len(codes) + 1
-            if held >= most:
+        words, sizes = _split_words(part.column("text"))
+        # A word's bytes and, beside them, what its numbers take.
+        ends = np.cumsum(sizes)
+        cost = np.cumsum(np.diff(np.r_[0, np.cumsum(pc.binary_length(words).to_numpy(), dtype=np.int64)][np.r_[0, ends]]) + WORD_COST * sizes + WORD_COST)
+        begin, paid = 0, 0
+        while begin < len(sizes):
+            # With the document that reaches the limit.
+            end = min(len(sizes), 1 + int(np.searchsorted(cost, paid + most - size)))
+            first = ends[begin - 1] if begin else 0
+            held.append((words.slice(first, ends[end - 1] - first), sizes[begin:end], part.column("tag").slice(begin, end - begin)))
+            size, begin, paid = size + int(cost[end - 1]) - paid, end, int(cost[end - 1])
+            if size >= most:
                 yield flush()
-                numbers, columns, counts, tags = opened()
-                held = 0
                 pa.default_memory_pool().release_unused()
-    if tags:
+    if held:
         yield flush()
 
 
@@ -93,7 +114,7 @@ def _renamed(batches):
             )
 
 
-def document_terms(docs: DataFrame, tag: Column, most: int = 3 << 19) -> tuple[DataFrame, DataFrame]:
+def document_terms(docs: DataFrame, tag: Column, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """
     The matrix of ``text``, whose rows carry ``tag``, and its dictionary.
 
@@ -105,7 +126,7 @@ def document_terms(docs: DataFrame, tag: Column, most: int = 3 << 19) -> tuple[D
     local = stored(
         rows.mapInArrow(
             partial(_sparse, most=most, tag_type=to_arrow_type(tags)),
-            f"shard string, words array<binary>, indptr binary, indices binary, data binary, tags array<{tags.simpleString()}>",
+            f"shard binary, words array<binary>, indptr binary, indices binary, data binary, tags array<{tags.simpleString()}>",
         ), "sparse",
     )
     words = local.select("shard", F.posexplode("words").alias("place", "word"))
@@ -117,7 +138,7 @@ def document_terms(docs: DataFrame, tag: Column, most: int = 3 << 19) -> tuple[D
     named = numbered.groupBy("shard").agg(F.collect_list(F.struct("place", "word_id")).alias("named"))
     joined = local.select("shard", "indptr", "indices", "data", "tags").join(named, "shard", "left").select("*", "named.place", "named.word_id")
     shards = joined.select("shard", "indptr", "indices", "data", "tags", "place", "word_id").mapInArrow(
-        _renamed, f"shard string, indptr binary, tags array<{tags.simpleString()}>, indices binary, data binary"
+        _renamed, f"shard binary, indptr binary, tags array<{tags.simpleString()}>, indices binary, data binary"
     )
     return shards, dictionary
 
@@ -136,7 +157,7 @@ def row_sums(shards: DataFrame) -> DataFrame:
     return shards.select("indptr", "data", "tags").mapInArrow(_row_sums, f"tag {tags}, words long, distinct_words long")
 
 
-def failures(docs: DataFrame, most: int = 3 << 19) -> DataFrame:
+def failures(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, part and failed of each document: bit k of ``failed`` is set where it fails the filter ``FILTERS[k]``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     capitals = F.octet_length(F.regexp_replace(text, "[^A-Z]+", ""))
@@ -152,7 +173,7 @@ def failures(docs: DataFrame, most: int = 3 << 19) -> DataFrame:
     return known.select("doc_id", "part", sum(f.cast("int") * (1 << k) for k, f in enumerate(fails)).alias("failed"))
 
 
-def audit(docs: DataFrame, labels: DataFrame, most: int = 3 << 19) -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
     """
     Per part, order of the five filters and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost and shapley.
 
