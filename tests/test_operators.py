@@ -244,3 +244,31 @@ def test_salvage_keeps_repeated_names_and_nan(spark, said, queries):
     df = spark.createDataFrame([(1, said)], "id int, raw string")
     got = cases.salvage_json_cases(df, "raw", ["id"]).orderBy("case_no").select(F.try_element_at("fields", F.lit("query")).alias("q")).collect()
     assert [r["q"] for r in got] == queries
+
+
+def test_strategies_name_sources(spark):
+    said = "tell user 88 that the meeting moved to Monday, mail kim@x.org"
+    t = spark.createDataFrame([(1, "notify_user", "/v1/notes", SCHEMA)], "t_id int, api_name string, endpoint string, json_schema string")
+    reqs = spark.createDataFrame([(1, 1, said), (2, 1, said), (3, 9, said), (4, 1, None)], "request_id int, t_id int, text string")
+    # two values for one field, a field the rules have, an absent value, an unknown field, a request nobody made
+    props = spark.createDataFrame(
+        [(1, "note", "the meeting moved"), (1, "note", "zzz"), (1, "email", "lee@x.org"), (1, "amount", "n/a"), (1, "made_up", "x"), (1, "page", "many"), (3, "note", "x"), (7, "note", "x"), (None, "note", "x")],
+        "request_id int, field string, value string",
+    )
+    base = extraction.extract_by_rules(reqs, t)
+
+    def told(strategy):
+        rows = extraction.assemble_extraction(base, props, strategy).collect()
+        assert sorted(r["request_id"] for r in rows) == [1, 2, 3, 4]
+        return {r["request_id"]: r for r in rows}
+
+    both, ruled, alone = (told(s) for s in ("hybrid", "rules", "proposals"))
+    assert {k: tuple(v) for k, v in both[1]["fields"].items()} == {
+        "user_id": ("88", "rule", 0.99), "email": ("kim@x.org", "rule", 0.99), "note": ("the meeting moved", "proposal", 0.85)}
+    assert both[1]["confidence"] == 0.85 and [u["field"] for u in both[1]["unverified"]] == ["page"]
+    assert set(ruled[1]["fields"]) == {"user_id", "email"} and ruled[1]["unverified"] == [] and both[2]["fields"] == ruled[2]["fields"]
+    assert {k: tuple(v) for k, v in alone[1]["fields"].items()} == {"note": ("the meeting moved", "proposal", None), "email": ("lee@x.org", "proposal", None)}
+    assert not alone[1]["ok"] and alone[1]["confidence"] is None and alone[2]["fields"] == {}
+    assert all(x[i]["fields"] == {} for x in (both, ruled, alone) for i in (3, 4)) and both[3]["ok"]
+    with pytest.raises(ValueError):
+        extraction.assemble_extraction(base, props, "llm")

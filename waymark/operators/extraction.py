@@ -345,48 +345,99 @@ def grounding_problem(field: Column, value: Column, kind: Column, format: Column
     )
 
 
+def _proposed(proposals: DataFrame) -> DataFrame:
+    """One row per request: its proposals as a list, one value per field (the smallest of several), absent ones left out."""
+    given = proposals.filter(~is_absent(F.col("value")) & ~F.trim("value").isin("[]", "{}"))
+    each = given.groupBy("request_id", "field").agg(F.min("value").alias("value"))
+    return each.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("_proposed"))
+
+
+def _judged(proposed: Column, text: Column, fields: Column, claims: Column, command: Column) -> Column:
+    """ARRAY<STRUCT<field, value, confidence, problem>>: each proposal for a field still open, refined and held against the text."""
+
+    def judge(f: Column, p: Column) -> Column:
+        def verdict(c: Column) -> Column:
+            refined = refine_value(f["field"], c["value"], f["type"], f["enum"], text, command)
+            return let(refined, lambda v: F.struct(
+                f["field"].alias("field"), v.alias("value"), F.when(f["type"] == "boolean", INFERRED_CONFIDENCE).otherwise(GROUNDED_CONFIDENCE).alias("confidence"),
+                F.coalesce(c["problem"], grounding_problem(f["field"], v, f["type"], f["format"], f["enum"], text, command)).alias("problem"),
+            ))
+
+        return let(typed_coerce(p["value"], f["type"]), verdict)
+
+    wanted = F.filter(proposed, lambda p: F.exists(fields, lambda f: f["field"] == p["field"]) & ~_taken(claims, p["field"]))
+    return F.transform(wanted, lambda p: let(F.filter(fields, lambda f: f["field"] == p["field"])[0], lambda f: judge(f, p)))
+
+
+def with_judgement(extracted: DataFrame, proposals: DataFrame, how: str = "left") -> DataFrame:
+    """
+    ``extracted`` with ``judged``, its proposals' verdicts. Only fields the rules left open, of requests with unexplained words.
+
+    Proposals are gathered per request first, so the requests, and the rules read off them, are needed once.
+    """
+    asked = with_command(extracted.join(_proposed(proposals), "request_id", how))
+    empty = F.array().cast("array<struct<field:string,value:string,confidence:double,problem:string>>")
+    open_words = F.size(unexplained_words(F.col("text"), F.col("command"))) > 0
+    verdicts = F.when(F.col("_proposed").isNotNull() & open_words, _judged(*map(F.col, ("_proposed", "text", "fields", "claims", "command"))))
+    return asked.withColumn("judged", F.coalesce(verdicts, empty)).drop("_proposed", "command")
+
+
 def ground_proposals(extracted: DataFrame, proposals: DataFrame) -> DataFrame:
     """
-    Proposed values (request_id, field, value) refined and judged: (request_id, field, value,
-    confidence, problem). Only fields the rules left open, of requests with unexplained words.
+    Proposed values (request_id, field, value) refined and judged: (request_id, field, value, confidence, problem). Only
+    fields the rules left open, of requests with unexplained words; of several values for one field the smallest counts.
     """
-    asked = with_command(extracted).withColumn("_asked", F.size(unexplained_words(F.col("text"), F.col("command"))) > 0)
-    joined = proposals.filter(~is_absent(F.col("value")) & ~F.trim("value").isin("[]", "{}")).withColumnRenamed("field", "_field").join(asked, "request_id")
-    spec = F.filter("fields", lambda f: f["field"] == F.col("_field"))
-    open_field = F.when(F.col("_asked") & ~_taken(F.col("claims"), F.col("_field")), F.try_element_at(spec, F.lit(1)))
-    known = joined.withColumn("_spec", open_field).filter(F.col("_spec").isNotNull())
-    coerced = known.withColumn("_c", typed_coerce(F.col("value"), F.col("_spec.type")))
-    refined = coerced.withColumn("_value", refine_value(
-        F.col("_field"), F.col("_c.value"), F.col("_spec.type"), F.col("_spec.enum"), F.col("text"), F.col("command")))
-    reason = F.coalesce("_c.problem", grounding_problem(
-        F.col("_field"), F.col("_value"), F.col("_spec.type"), F.col("_spec.format"), F.col("_spec.enum"), F.col("text"), F.col("command")))
-    confidence = F.when(F.col("_spec.type") == "boolean", INFERRED_CONFIDENCE).otherwise(GROUNDED_CONFIDENCE)
-    return refined.select("request_id", F.col("_field").alias("field"), F.col("_value").alias("value"), confidence.alias("confidence"), reason.alias("problem"))
-
-
-def assemble_extraction(extracted: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    rows = with_judgement(extracted, proposals, "inner").select("request_id", F.explode_outer("judged").alias("j"))
+    return rows.filter("j.field IS NOT NULL").select("request_id", "j.*")
+
+
+STRATEGIES = ("hybrid", "rules", "proposals")
+
+
+def assemble_extraction(extracted: DataFrame, proposals: DataFrame | None = None, strategy: str | None = None) -> DataFrame:
     """
-    One row per request: values, weakest confidence, missing required fields, unverified
-    proposals, ok and strategy. Rules win over proposals.
+    One row per request: values, each field's value, source and confidence, weakest confidence, missing required fields,
+    unverified proposals, ok and strategy.
+
+    ``hybrid``: rules win, proposals for what they left open are held against the text. ``rules``: proposals are not read.
+    ``proposals``: they alone, coerced to the type of their field but not held against the text, without a confidence; one
+    that cannot be coerced makes ``ok`` false. Without a strategy it is hybrid, and the row says ``hybrid`` or ``rules`` by
+    whether a proposal was judged. A request without fields is ok and empty.
     """
-    entry = F.struct("field", "value", "confidence", "problem")
-    if judged is None:
-        judged = extracted.sparkSession.createDataFrame([], "request_id bigint, field string, value string, confidence double, problem string")
-    # at most one proposal per field of the template, so the list per request is short
-    per_request = judged.groupBy("request_id").agg(F.array_sort(F.collect_list(entry)).alias("_judged"))
-    df = extracted.join(per_request, "request_id", "left")
-    given = F.coalesce("_judged", F.array().cast("array<struct<field:string,value:string,confidence:double,problem:string>>"))
-    rules = F.transform("claims", lambda c: F.struct(c["field"].alias("field"), c["value"].alias("value"), F.lit(RULE_CONFIDENCE).alias("confidence")))
-    good = F.transform(F.filter(given, lambda j: j["problem"].isNull()), lambda j: F.struct(j["field"].alias("field"), j["value"].alias("value"), j["confidence"].alias("confidence")))
-    df = df.withColumns({"_found": F.concat(rules, good), "_bad": F.filter(given, lambda j: j["problem"].isNotNull())})
+    if strategy is not None and strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
+    if proposals is None:
+        proposals = extracted.sparkSession.createDataFrame([], "request_id bigint, field string, value string")
+    found = "array<struct<field:string,value:string,source:string,confidence:double>>"
+
+    def entries(values: str | Column, source: str, confidence) -> Column:
+        return F.transform(values, lambda v: F.struct(
+            v["field"].alias("field"), v["value"].alias("value"), F.lit(source).alias("source"), confidence(v).cast("double").alias("confidence"))).cast(found)
+
+    ruled = entries("claims", "rule", lambda c: F.lit(RULE_CONFIDENCE))
+    none = F.array().cast("array<struct<field:string,value:string,confidence:double,problem:string>>")
+    if strategy == "rules":
+        df = extracted.withColumns({"judged": none, "_found": ruled})
+    elif strategy == "proposals":
+        df = extracted.drop("claims").join(_proposed(proposals), "request_id", "left")
+        known = F.filter(F.coalesce("_proposed", F.array().cast("array<struct<field:string,value:string>>")), lambda p: F.exists("fields", lambda f: f["field"] == p["field"]))
+        kind = lambda p: F.filter("fields", lambda f: f["field"] == p["field"])[0]["type"]
+        coerced = F.transform(known, lambda p: let(typed_coerce(p["value"], kind(p)), lambda c: F.struct(
+            p["field"].alias("field"), c["value"].alias("value"), F.lit(None).cast("double").alias("confidence"), c["problem"].alias("problem"))))
+        df = df.withColumn("judged", coerced).withColumn("_found", entries(F.filter("judged", lambda j: j["problem"].isNull()), "proposal", lambda j: j["confidence"]))
+    else:
+        df = with_judgement(extracted, proposals)
+        df = df.withColumn("_found", F.concat(ruled, entries(F.filter("judged", lambda j: j["problem"].isNull()), "proposal", lambda j: j["confidence"])))
     names = F.transform("_found", lambda f: f["field"])
-    required = F.transform(F.filter("fields", lambda f: f["required"]), lambda f: f["field"])
-    missing = F.array_except(required, names)
+    missing = F.array_except(F.transform(F.filter("fields", lambda f: f["required"]), lambda f: f["field"]), names)
+    unverified = F.transform(F.filter("judged", lambda j: j["problem"].isNotNull()), lambda b: F.struct(b["field"].alias("field"), b["value"].alias("value"), b["problem"].alias("reason")))
+    ok = (F.size(missing) == 0) & (F.size(unverified) == 0) if strategy == "proposals" else F.size(missing) == 0
     return df.select(
         "request_id", "t_id", F.map_from_entries(F.transform("_found", lambda f: F.struct(f["field"], f["value"]))).alias("values"),
+        F.map_from_entries(F.transform("_found", lambda f: F.struct(f["field"], F.struct(f["value"], f["source"], f["confidence"])))).alias("fields"),
         F.array_min(F.transform("_found", lambda f: f["confidence"])).alias("confidence"), missing.alias("missing_required"),
-        F.transform("_bad", lambda b: F.struct(b["field"].alias("field"), b["value"].alias("value"), b["problem"].alias("reason"))).alias("unverified"),
-        (F.size(missing) == 0).alias("ok"), F.when(F.col("_judged").isNotNull(), "hybrid").otherwise("rules").alias("strategy"),
+        unverified.alias("unverified"), ok.alias("ok"),
+        F.lit(strategy).alias("strategy") if strategy else F.when(F.size("judged") > 0, "hybrid").otherwise("rules").alias("strategy"),
     )
 
 

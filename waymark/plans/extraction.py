@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from waymark.operators import evaluation, extraction
@@ -73,8 +75,12 @@ def extracted(spark, sf_dir):
     return extraction.extract_by_rules(requests(spark, sf_dir).select("request_id", "t_id", "text"), catalogue(spark))
 
 
+def proposals(spark, sf_dir):
+    return spark.sql(_PROPOSALS, orders=table(spark, sf_dir, "orders"))
+
+
 def judged(spark, sf_dir):
-    return extraction.ground_proposals(extracted(spark, sf_dir), spark.sql(_PROPOSALS, orders=table(spark, sf_dir, "orders")))
+    return extraction.ground_proposals(extracted(spark, sf_dir), proposals(spark, sf_dir))
 
 
 @query("extract_by_rules", f"SELECT request_id, field, value, 'rule' AS source, CAST(0.99 AS DOUBLE) AS confidence FROM ({FOUND_SQL})")
@@ -153,7 +159,7 @@ _REQUIRED = """SELECT request_id, unnest(CASE t_id WHEN '1-URGENT' THEN ['order_
            CASE WHEN r.request_id IN (SELECT request_id FROM j) THEN 'hybrid' ELSE 'rules' END AS strategy
     FROM r LEFT JOIN g USING (request_id) LEFT JOIN m USING (request_id) LEFT JOIN u USING (request_id)""")
 def _(spark, sf_dir):
-    out = extraction.assemble_extraction(extracted(spark, sf_dir), judged(spark, sf_dir))
+    out = extraction.assemble_extraction(extracted(spark, sf_dir), proposals(spark, sf_dir))
     pairs = F.array_sort(F.transform(F.map_entries("values"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return out.select(
         "request_id", F.array_join(pairs, ";").alias("values"), "confidence", F.array_join(F.array_sort("missing_required"), ",").alias("missing_required"),
@@ -161,6 +167,19 @@ def _(spark, sf_dir):
     )
 
 
+@query("extraction_sources", f"""
+    WITH j AS ({JUDGED_SQL})
+    SELECT 'hybrid' AS strategy, request_id, field, value, 'rule' AS source, CAST(0.99 AS DOUBLE) AS confidence FROM ({FOUND_SQL})
+    UNION ALL SELECT 'hybrid', request_id, field, value, 'proposal', confidence FROM j WHERE problem IS NULL
+    UNION ALL SELECT 'rules', request_id, field, value, 'rule', CAST(0.99 AS DOUBLE) FROM ({FOUND_SQL})
+    UNION ALL SELECT 'proposals', request_id, field, value, 'proposal', NULL FROM ({_PROPOSALS.replace("THEN 'none'", "THEN NULL")}) WHERE value IS NOT NULL""")
+def _(spark, sf_dir):
+    """Where each value of a request comes from and how sure it is, by the three strategies."""
+    parts = [extraction.assemble_extraction(extracted(spark, sf_dir), proposals(spark, sf_dir), s) for s in extraction.STRATEGIES]
+    rows = reduce(lambda a, b: a.unionByName(b), [p.select("strategy", "request_id", F.explode_outer("fields").alias("field", "f")) for p in parts])
+    return rows.filter("field IS NOT NULL").select("strategy", "request_id", "field", "f.value", "f.source", "f.confidence")
+
+
 _BODIES = """SELECT o_orderkey AS request_id, o_orderpriority AS t_id, o_orderstatus AS st, CAST(o_custkey AS STRING) AS a,
         CASE o_orderstatus WHEN 'O' THEN '7' WHEN 'P' THEN 'N/A' ELSE 'seven' END AS b FROM {orders}"""
 
