@@ -9,6 +9,7 @@ from waymark.plans.registry import query, table
 from waymark.plans.roles import role
 from waymark.session import fresh_path
 from waymark.sources import files, vectors
+from waymark.streaming import logs
 
 
 @query("csv_round_trip", """
@@ -52,18 +53,46 @@ _LOG_FILE = """SELECT event_id, CASE WHEN event_type = 'purchase' THEN CONCAT('p
         FROM {events}"""
 
 
-@query("read_json_logs", """
+_LOGS_SQL = """
     SELECT TIMESTAMP '2024-03-01 10:00:00.5' AS ts, 'INFO' AS severity, event_type AS message, CAST(user_id AS VARCHAR) AS user_id,
            CAST(user_id AS DOUBLE) AS execution_time_ms, count(*) AS n
-    FROM {events} WHERE event_type NOT IN ('purchase', 'view') GROUP BY ALL""")
+    FROM {events} WHERE event_type NOT IN ('purchase', 'view') GROUP BY ALL"""
+_BROKEN_SQL = "SELECT 'plain text ' || CAST(event_id AS VARCHAR) AS broken FROM {events} WHERE event_type = 'purchase'"
+
+
+def _log_counts(rows):
+    return rows.groupBy("ts", "severity", "message", "user_id", "execution_time_ms").agg(F.count("*").alias("n"))
+
+
+@query("read_json_logs", _LOGS_SQL)
 def _(spark, sf_dir):
     path = fresh_path(spark, "log-lines")
     spark.sql(_LOG_FILE, events=table(spark, sf_dir, "events")).select("value").write.text(path)
-    rows = files.read_json_logs(spark, path)
-    return rows.groupBy("ts", "severity", "message", "user_id", "execution_time_ms").agg(F.count("*").alias("n"))
+    return _log_counts(files.read_json_logs(spark, path))
+
+
+def _split_logs(spark, sf_dir):
+    """The lines arrive as a stream in two lots; the tables of readable rows and of broken lines."""
+    path, kept, broken, checkpoint = (fresh_path(spark, label) for label in ("log-stream", "log-rows", "log-broken", "log-checkpoint"))
+    lines = spark.sql(_LOG_FILE, events=table(spark, sf_dir, "events"))
+    for lot in (0, 1):
+        lines.filter(F.col("event_id") % 2 == lot).select("value").write.mode("append").text(path)
+        writer = logs.split_log_stream(spark.readStream.text(path), kept, broken)
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(kept), spark.read.parquet(broken)
+
+
+@query("read_json_logs_stream", _LOGS_SQL)
+def _(spark, sf_dir):
+    return _log_counts(_split_logs(spark, sf_dir)[0])
+
+
+@query("broken_log_lines_stream", _BROKEN_SQL)
+def _(spark, sf_dir):
+    return _split_logs(spark, sf_dir)[1].select("broken")
 
 
-@query("broken_log_lines", "SELECT 'plain text ' || CAST(event_id AS VARCHAR) AS broken FROM {events} WHERE event_type = 'purchase'")
+@query("broken_log_lines", _BROKEN_SQL)
 def _(spark, sf_dir):
     lines = spark.sql(_LOG_FILE, events=table(spark, sf_dir, "events")).select("value")
     return files.broken_log_rows(files.parse_log_lines(lines))

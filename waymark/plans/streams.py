@@ -318,21 +318,31 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     read_stream(spark, sf_dir, "events").createOrReplaceTempView("waymark_events_stream")
     starts, ends = (spark.sql(s.replace("{events}", "waymark_events_stream")) for s in (_STARTS, _ENDS))
-    return drain(alerts.span_durations(starts, ends, max_hours=1).select("span_id", "name", "success", "duration_ms"), "spans")
+    spans = alerts.span_durations(starts, ends, max_hours=1).filter("duration_ms IS NOT NULL")
+    return drain(spans.select("span_id", "name", "success", "duration_ms"), "spans")
+
+
+@query("span_outcomes_stream", f"""
+    WITH e AS ({_ENDS_SQL}), passed AS (SELECT least((SELECT epoch_ms(max(ts)) FROM events), (SELECT epoch_ms(max(finished_at)) FROM e)) - 600000 AS ms)
+    SELECT span_id, name, success, duration_ms FROM ({SPANS_SQL}) JOIN (SELECT event_id AS span_id, ts FROM {{events}}) USING (span_id)
+    WHERE duration_ms IS NOT NULL OR epoch_ms(ts) + 3600000 < (SELECT ms FROM passed)""")
+def _(spark, sf_dir):
+    """Spans with their finish, and those still open an hour after their start once the watermark has passed it."""
+    events = read_stream(spark, sf_dir, "events")
+    starts, ends = (spark.sql(s, events=events) for s in (_STARTS, _ENDS))
+    return drain(alerts.span_durations(starts, ends, max_hours=1).select("span_id", "name", "success", "duration_ms"), "span-outcomes")
 
 
 # --- near-duplicates ---------------------------------------------------------------------------------------
 
 @query("dedup_stream", f"{DEDUP_SQL} SELECT label, vec_id FROM g WHERE kept")
 def _(spark, sf_dir):
-    """Two files arrive one after the other: the first three quarters of the vectors by number, then the rest."""
-    source, out = fresh_path(spark, "arriving"), fresh_path(spark, "accepted")
+    """Vectors arrive in two lots, in as many files as there are: the first three quarters by number, then the rest."""
+    source, out, checkpoint = (fresh_path(spark, label) for label in ("arriving", "accepted", "dedup-checkpoint"))
     rows = table(spark, sf_dir, "embeddings")
     border = rows.agg(F.max("vec_id") * 0.75).first()[0]
     for early in (True, False):
-        part = rows.filter((F.col("vec_id") <= border) == early)
-        part.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    writer = dedup_stream(stream, out, "vec_id", bucket=("label",), threshold=THRESHOLD)
-    writer.option("checkpointLocation", fresh_path(spark, "dedup-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        rows.filter((F.col("vec_id") <= border) == early).write.mode("append").parquet(source)
+        writer = dedup_stream(spark.readStream.schema(rows.schema).parquet(source), out, "vec_id", bucket=("label",), threshold=THRESHOLD)
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("label", "vec_id")

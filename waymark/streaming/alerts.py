@@ -142,17 +142,17 @@ def group_alerts(alerts: DataFrame, interval: int = GROUP_INTERVAL) -> DataFrame
 def span_durations(starts: DataFrame, ends: DataFrame, max_hours: float | None = None) -> DataFrame:
     """
     Duration in ms of each span from its start (span_id, name, started_at) and finish (span_id,
-    finished_at, success). On tables an unfinished span stays, without a duration; on streams
-    finished spans are given, and ``max_hours`` bounds how long a start is remembered.
+    finished_at, success). The first finish ends a span; an unfinished one stays, without a duration. On streams
+    ``max_hours`` bounds how long a start is remembered: a finished span is given with its finish, an unfinished
+    one when the watermark has passed that time.
     """
     if starts.isStreaming:
         s = starts.withWatermark("started_at", WATERMARK)
-        e = ends.withColumnRenamed("span_id", "_end_id").withWatermark("finished_at", WATERMARK)
+        e = ends.withColumnRenamed("span_id", "_end_id").withWatermark("finished_at", WATERMARK).dropDuplicatesWithinWatermark(["_end_id"])
         within = (F.col("span_id") == F.col("_end_id")) & (F.col("finished_at") >= F.col("started_at"))
-        within = within & (F.col("finished_at") <= F.col("started_at") + F.make_dt_interval(hours=F.lit(int(max_hours or 24))))
-        joined = s.join(e, within, "inner").drop("_end_id")
+        within = within & (F.col("finished_at") <= F.col("started_at") + F.expr(f"INTERVAL {int(max_hours or 24)} HOURS"))
+        joined = s.join(e, within, "left_outer").drop("_end_id")
     else:
-        # the first finish ends a span
         first = ends.groupBy("span_id").agg(F.min("finished_at").alias("finished_at"), F.min_by("success", "finished_at").alias("success"))
         joined = starts.join(first, "span_id", "left")
     duration = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1000
