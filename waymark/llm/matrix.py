@@ -36,7 +36,7 @@ from waymark.llm.common import lookup, stored
 
 FILTERS = "ABCDE"
 BUCKET_WORDS = 200_000
-MOST = 64 << 20
+MOST = 96 << 20
 # Bytes that the numbers of one word take while a shard is put together.
 WORD_COST = 40
 
@@ -64,6 +64,7 @@ def _sparse(batches, most, tag_type):
         words, sizes, tags = (list(column) for column in zip(*held))
         held, size = [], 0
         coded = pa.concat_arrays(words).dictionary_encode()
+        del words
         sizes, n_words = np.concatenate(sizes), len(coded.dictionary)
         # Row and column in one number; equal ones lie together once sorted.
         entries, data = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n_words + coded.indices.to_numpy(), return_counts=True)
@@ -127,7 +128,7 @@ def document_terms(docs: DataFrame, tag: Column, most: int = MOST) -> tuple[Data
         rows.mapInArrow(
             partial(_sparse, most=most, tag_type=to_arrow_type(tags)),
             f"shard binary, words array<binary>, indptr binary, indices binary, data binary, tags array<{tags.simpleString()}>",
-        ), "sparse",
+        ), "sparse", codec="zstd",
     )
     words = local.select("shard", F.posexplode("words").alias("place", "word"))
     # A word's number: its rank among the words of its bucket, and the bucket. One shuffle deals words to buckets of bounded size.
