@@ -144,7 +144,7 @@ def span_durations(starts: DataFrame, ends: DataFrame, max_hours: float | None =
     Duration in ms of each span from its start (span_id, name, started_at) and finish (span_id,
     finished_at, success). The first finish ends a span; an unfinished one stays, without a duration. On streams
     ``max_hours`` bounds how long a start is remembered: a finished span is given with its finish, an unfinished
-    one when the watermark has passed that time.
+    one when the watermark has passed that time. The first finish is there the first to arrive.
     """
     if starts.isStreaming:
         s = starts.withWatermark("started_at", WATERMARK)
