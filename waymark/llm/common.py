@@ -14,7 +14,7 @@ SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 HEAVY_SHARE = 1000
 
 
-def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path, compression=codec)
