@@ -71,18 +71,79 @@ def test_toxicity(spark, docs, none):
     assert {r.predicted for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
+def terms_of(*buckets):
+    return np.array([(b, 1.0) for b in buckets], toxicity.TERM)
+
+
 def test_pairs_say_what_terms_do_not():
-    sets = [np.array([a, 2 + b], np.int32) for a in (0, 1) for b in (0, 1)]
-    rows = [(t, int(t[0] == t[1] - 2)) for t in sets] * 100
+    sets = [terms_of(a, 2 + b) for a in (0, 1) for b in (0, 1)]
+    rows = [(t, int(t["bucket"][0] == t["bucket"][1] - 2)) for t in sets] * 100
     machine = toxicity.fit(rows, epochs=60)
     assert all((machine.raw(machine.places(t)) > 0) == bool(y) for t, y in rows[:4])
 
 
+def test_machine_sums_all_pairs():
+    random = np.random.default_rng(1)
+    n = 12
+    machine = toxicity.Machine(np.arange(0, 3 * n, 3, dtype=np.int32), 0.3, random.normal(size=n), random.normal(size=(n, toxicity.FACTORS)), 1.7, -0.2)
+    for size in (0, 1, 5, 20):
+        found = np.array([(b, random.random()) for b in sorted(random.choice(3 * n, size, False))], toxicity.TERM)
+        known = [(int(b) // 3, float(x)) for b, x in found if b % 3 == 0]
+        want = machine.bias + sum(machine.weights[i] * x for i, x in known)
+        for (i, x), (j, y) in itertools.combinations(known, 2):
+            want += x * y * sum(machine.factors[i][k] * machine.factors[j][k] for k in range(toxicity.FACTORS))
+        assert machine.raw(machine.places(found)) == pytest.approx(1.7 * want - 0.2)
+
+
+def test_terms_are_words_and_beginnings():
+    memo = toxicity.Spellings()
+    found = toxicity.terms("Abcde abc ABC x", memo)
+    shares = Counter()
+    for form, n in {"abcde": 1, "abc*": 1, "abcd*": 1, "abc": 2, "x": 1}.items():
+        shares[zlib.crc32(form.encode()) % toxicity.BUCKETS] += n / 4
+    assert {int(b): pytest.approx(float(v), rel=1e-6) for b, v in found} == {b: toxicity.SCALE * v**toxicity.POWER for b, v in shares.items()}
+    assert len(toxicity.terms("", memo)) == 0 and len(toxicity.terms("a " * 100_000, memo)) == 1
+
+
+def test_toxicity_sample(spark):
+    """Bounded in rows and bytes, in the order of the hash; one text per id; the largest label counts."""
+    docs = documents(spark, [(i, f"text {i}") for i in range(300)] + [(7, "another")] * 50)
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(300)] + [(10, 0), (3, None)], "doc_id long, toxic int")
+    whole, share = toxicity.sample_terms(docs, labels)
+    again, _ = toxicity.sample_terms(docs.repartition(7), labels.repartition(3))
+    learned = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    assert len(whole) == len(learned) and share == pytest.approx(np.mean([i % 10 == 0 for i in learned]))
+    assert [(t.tobytes(), y) for t, y in whole] == [(t.tobytes(), y) for t, y in again]
+    few, _ = toxicity.sample_terms(docs, labels, sample=20)
+    assert len(few) == 20 and sum(y for _, y in few) == 10
+    small, _ = toxicity.sample_terms(docs, labels, most_bytes=400)
+    assert 0 < len(small) and sum(t.nbytes for t, _ in small) <= 400 < sum(t.nbytes for t, _ in whole[: len(small) + 1])
+    assert [t.tobytes() for t, _ in small] == [t.tobytes() for t, _ in whole[: len(small)]]
+
+
+def test_toxicity_odd_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    rows = documents(spark, [(i, ("you fool group" if i % 2 else "you fine group") + f" {i}") for i in range(400)] + [(900, None), (901, ""), (902, "you fool group " * 30_000), (None, "you fine group"), (3, "you fool group 3")])
+    got = {}
+    for r in toxicity.toxicity(rows, labels).collect():
+        got.setdefault(r.doc_id, []).append((r.score, r.predicted))
+    assert got[900] == got[901] and got[902][0][1] == 1 and got[None][0][1] == 0
+    assert len(got[3]) == 2 and got[3][0] == got[3][1] and sum(map(len, got.values())) == 405
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
-    got = queries.op1_toxicity(spark, sf).join(queries.table(spark, sf, "labels"), "doc_id").filter("held_out").collect()
-    right = np.mean([r.predicted == r.toxic for r in got])
-    assert right > 0.95
+    facts = queries.table(spark, sf, "labels").join(queries.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    got = queries.op1_toxicity(spark, sf).join(facts, "doc_id").filter("held_out").collect()
+    caught = defaultdict(list)
+    for r in got:
+        if r.toxic:
+            caught[r.lang].append(r.predicted)
+    recall = {lang: np.mean(x) for lang, x in caught.items()}
+    print(recall, {lang: len(x) for lang, x in caught.items()})
+    assert np.mean([r.predicted == r.toxic for r in got]) > 0.97
+    assert np.mean(sum(caught.values(), [])) >= 0.85 and min(recall.values()) >= 0.75
+    assert np.mean([r.predicted for r in got if not r.toxic]) <= 0.01
 
 
 def test_warc(spark):
@@ -365,7 +426,7 @@ def test_pipeline(spark, sf_dir):
     assert clean.columns == docs.columns
     kept = clean.select("doc_id").distinct()
     gone = queries.table(spark, large, "labels").join(kept, "doc_id", "left_anti")
-    assert gone.filter("toxic = 0").count() <= 35 < 200 < gone.filter("toxic = 1").count()
+    assert gone.filter("toxic = 0").count() <= 35 < 380 < gone.filter("toxic = 1").count()
     docs = queries.table(spark, sf_dir, "documents")
     cut = corpus_pipeline.drop_lines(spark, docs, sf_dir)
     texts = {r.doc_id: r.text for r in lines.drop_repeated_lines(docs).collect()}
@@ -380,3 +441,18 @@ def test_pipeline_stages_on_odd_rows(spark, docs, none, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf_dir).count() == 0
         assert stage(spark, docs, sf_dir).count() > 0
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, sf_dir):
+    """Columns named as the stages' own are carried through with their values."""
+    names = ["score", "score_", "Drop", "_id", "_no_id", "_hash", "_kept_text", "hash", "first"]
+    docs = queries.table(spark, sf_dir, "documents")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        plain = sorted(map(repr, stage(spark, docs, sf_dir).collect()))
+        wide = docs
+        for n in names:
+            wide = wide.withColumn(n, docs["doc_id"] * 10 + len(n))
+        got = stage(spark, wide, sf_dir)
+        assert got.columns == wide.columns
+        assert all(r[n] == r.doc_id * 10 + len(n) for r in got.collect() for n in names)
+        assert sorted(map(repr, got.select(*docs.columns).collect())) == plain

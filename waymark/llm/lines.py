@@ -183,5 +183,4 @@ def _rewritten(batches, drop):
 
 def without(docs: DataFrame, drop: str) -> DataFrame:
     """``docs`` with the lines whose keys stand in the array column ``drop`` taken out of ``text``; ``n_chars`` follows."""
-    kept = docs.select(*[c for c in docs.columns if c not in ("_id", drop)], drop)
-    return kept.mapInArrow(partial(_rewritten, drop=drop), kept.drop(drop).schema)
+    return docs.mapInArrow(partial(_rewritten, drop=drop), docs.drop(drop).schema)
