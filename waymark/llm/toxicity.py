@@ -8,7 +8,7 @@ products of the factors of every two terms, so that two terms may say together w
 left out for being rare; decay and shares of small size keep its weight small.
 
 It is fitted on a bounded sample of the labelled rows: up to half of ``sample`` rows of either label, those of the
-smallest hash of their id, whose terms take at most ``most_bytes``. Every tenth of them is held back from the machine
+smallest hash of their id, whose terms take at most ``most_bytes``. Every fifth of them is held back from the machine
 and fits slope and place of the logistic, which are then moved to the labels' share among all labelled rows. Every
 document is scored from its whole text.
 
@@ -188,7 +188,7 @@ def _calibrate(machine: Machine, held) -> None:
         machine.slope, machine.place = found[0] / width, found[1] - found[0] * middle / width
 
 
-def fit(rows, share: float | None = None, epochs: int = 8, rate: float = 0.3, decay: float = 1e-4, seed: int = 7, hold: int = 10) -> Machine:
+def fit(rows, share: float | None = None, epochs: int = 8, rate: float = 0.3, decay: float = 1e-4, seed: int = 7, hold: int = 5) -> Machine:
     """A machine of ``rows`` (terms, label); ``share``: that of label 1 where the scores will be used, if not theirs."""
     labels = np.array([y for _, y in rows], np.float64)
     if not len(rows) or labels.min() == labels.max():

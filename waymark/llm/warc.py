@@ -28,6 +28,7 @@ from waymark.session import fresh_path
 MAGIC = 0x184D2A5D
 LEAST = 100
 READ = 1 << 20
+READERS = 10_000
 
 
 def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -180,7 +181,8 @@ def _reader(batches, folder, payloads):
 def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """Records of the listed archives, with url and payload bytes if asked for."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * payloads
-    spread = archives.select("path").repartition(F.col("path"))
+    # a partition an archive: their number is given, as a table of a few paths would be merged into one task
+    spread = archives.select("path").repartitionByRange(max(1, min(archives.count(), READERS)), "path")
     return spread.mapInArrow(partial(_reader, folder=folder, payloads=payloads), schema)
 
 
