@@ -163,7 +163,7 @@ def test_warc(spark):
 
 def test_archives_have_a_dictionary(spark, sf_dir, tmp_path):
     pages = queries.table(spark, sf_dir, "pages")
-    archives = warc.write_archives(warc.decide(pages), str(tmp_path), sample_bytes=200_000)
+    archives = warc.write_archives(warc.decide(pages), str(tmp_path), sample_bytes=200_000, archive_bytes=100_000)
     for row in archives.collect():
         with open(row.path, "rb") as stream:
             assert int.from_bytes(stream.read(4), "little") == warc.MAGIC
