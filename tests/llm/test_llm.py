@@ -163,17 +163,24 @@ def test_warc(spark):
 
 def test_archives_have_a_dictionary(spark, sf_dir, tmp_path):
     pages = queries.table(spark, sf_dir, "pages")
-    archives = warc.write_archives(warc.decide(pages), str(tmp_path), sample_bytes=200_000, archive_bytes=100_000)
+    archives = warc.write_archives(warc.decide(pages), str(tmp_path), sample_bytes=200_000)
     for row in archives.collect():
         with open(row.path, "rb") as stream:
             assert int.from_bytes(stream.read(4), "little") == warc.MAGIC
     back = warc.read_archives(archives, str(tmp_path), payloads=True)
-    assert back.rdd.getNumPartitions() == archives.count() > 1
     full = {r.page_id: bytes(r.payload).decode() for r in back.collect() if r.record_type == "response"}
     source = {r.page_id: r.html or "" for r in pages.collect()}
     assert full and all(source[k] == v for k, v in full.items())
 
 
+def test_archives_are_read_by_as_many_tasks(spark, sf_dir, tmp_path):
+    records = warc.decide(queries.table(spark, sf_dir, "pages"))
+    archives = warc.write_archives(records, str(tmp_path), sample_bytes=20_000, archive_bytes=5_000)
+    back = warc.read_archives(archives, str(tmp_path))
+    assert back.rdd.getNumPartitions() == archives.count() > 1
+    assert back.count() == records.count()
+
+
 def test_lattice(docs, none):
     got = lattice.score(docs).collect()
     assert len(got) == len(ROWS) and lattice.score(none).count() == 0
