@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import lines, minhash, packing, toxicity
+from waymark.llm import lines, packing, simhash, toxicity
 from waymark.llm.common import spare, stored
 from waymark.llm.queries import table
 
@@ -27,11 +27,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts linked at five-word similarity 0.8: that of the smallest id, a null id last."""
+    """One row of each of op7's groups of near copies: that of the smallest id, a null id last."""
     keys = [spare(docs, n) for n in ("_no_id", "_id", "_hash")]
-    of_row = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(lines.NO_ID)), minhash.text_hash()]
-    firsts = minhash.survivors(docs).withColumnRenamed("hash", keys[2])
-    kept = firsts.select(F.col("doc_id").isNull().alias(keys[0]), F.coalesce("doc_id", F.lit(lines.NO_ID)).alias(keys[1]), keys[2])
+    of_row = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(lines.NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))]
+    # texts go by their hash: ids may repeat or be null
+    found = simhash.near_duplicates(docs.select(of_row[2].alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias("hash"), F.col("component_id").alias("root")).distinct()
+    least = docs.select(of_row[2].alias("hash"), F.struct(of_row[0].alias("no_id"), of_row[1].alias("id")).alias("row")).groupBy("hash").agg(F.min("row").alias("row"))
+    firsts = least.join(groups, "hash").groupBy("root").agg(F.min(F.struct("row.no_id", "row.id", "hash")).alias("first"))
+    kept = firsts.select(*[F.col(f"first.{n}").alias(key) for n, key in zip(("no_id", "id", "hash"), keys)])
     # the same text under the same id is one row more than once
     return docs.withColumns(dict(zip(keys, of_row))).join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
