@@ -28,6 +28,8 @@ from waymark.session import checkpointed
 THRESHOLD = 0.92
 HIGH_RATE, LOW_RATE, LOW_RATE_ROWS = 0.45, 0.02, 100
 BLOCK_ROWS = 8_192
+CELL_ROWS = 4_096  # of a block of the rounds, at least
+TILE = 1_024  # rows of either side compared at once in a task
 ROUNDED_COPY = 1e-6  # a copy of a vector is only sure to reach thresholds below 1 - this
 
 _IDS = pa.schema([("_key", pa.string()), ("_ord", pa.int64())])
@@ -48,6 +50,27 @@ def _greedy(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"_key": pa.array([table["_key"][0].as_py()] * len(kept), pa.string()), "_ord": pa.array(kept, pa.int64())}, schema=_IDS)
 
 
+def _near_earlier(mine: pa.Table, theirs: pa.Table, threshold: float) -> np.ndarray:
+    """Which of ``mine`` have an earlier row of ``theirs`` within the threshold, in tiles; a row found is compared no further."""
+    m_ord, t_ord = mine["_ord"].to_numpy(), theirs["_ord"].to_numpy()
+    order = np.argsort(t_ord, kind="stable")
+    t_ord, t_vec, m_vec = t_ord[order], normalised(matrix(theirs["_vec"]))[order], normalised(matrix(mine["_vec"]))
+    hit = np.zeros(len(mine), dtype=bool)
+    for first in range(0, len(mine), TILE):
+        rest = np.arange(first, min(first + TILE, len(mine)))
+        for start in range(0, len(t_ord), TILE):
+            rest = rest[m_ord[rest] > t_ord[start]]
+            if not len(rest):
+                break
+            part = slice(start, start + TILE)
+            near = m_vec[rest] @ t_vec[part].T >= threshold
+            near &= t_ord[part][None, :] < m_ord[rest][:, None]
+            found = near.any(axis=1)
+            hit[rest[found]] = True
+            rest = rest[~found]
+    return hit
+
+
 def _has_earlier_neighbour(rows: DataFrame, others: DataFrame, threshold: float, block_rows: int) -> DataFrame:
     """
     (key, order) of the ``rows`` that have an earlier row of ``others`` within the threshold.
@@ -67,9 +90,7 @@ def _has_earlier_neighbour(rows: DataFrame, others: DataFrame, threshold: float,
         mine, theirs = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
         if len(mine) == 0 or len(theirs) == 0:
             return _IDS.empty_table()
-        near = normalised(matrix(mine["_vec"])) @ normalised(matrix(theirs["_vec"])).T >= threshold
-        near &= theirs["_ord"].to_numpy()[None, :] < mine["_ord"].to_numpy()[:, None]
-        hit = near.any(axis=1)
+        hit = _near_earlier(mine, theirs, threshold)
         return mine.filter(pa.array(hit)).select(["_key", "_ord"]).cast(_IDS)
 
     return both.groupBy("_key", "_rb", "_ob").applyInArrow(compare, _IDS_DDL).distinct()
@@ -88,15 +109,16 @@ def accepted_rows(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_
         sizes = undecided.groupBy("_key").agg((F.count("*") > block_rows).alias("_large"))
         sized = undecided.join(sizes, "_key")
         small = sized.filter(~F.col("_large")).drop("_large")
-        # rows near an accepted row of an earlier round are gone, so what is left decides itself
+        # rows near an accepted row of an earlier round are gone, so what is left decides itself;
+        # cells are of full size however small the rest that ends the rounds, or each row would be in very many
         add(small.groupBy("_key").applyInArrow(lambda t: _greedy(t, threshold), _IDS_DDL))
         large = checkpointed(sized.filter("_large").drop("_large"))
         if large.isEmpty():
             return accepted
-        waiting = checkpointed(_has_earlier_neighbour(large, large, threshold, block_rows))
+        waiting = checkpointed(_has_earlier_neighbour(large, large, threshold, max(block_rows, CELL_ROWS)))
         chosen = large.join(waiting, ["_key", "_ord"], "left_anti")
         rest = large.join(waiting, ["_key", "_ord"], "left_semi")
-        covered = _has_earlier_neighbour(rest, chosen, threshold, block_rows)
+        covered = _has_earlier_neighbour(rest, chosen, threshold, max(block_rows, CELL_ROWS))
         add(chosen.select("_key", "_ord"))
         undecided = checkpointed(rest.join(covered, ["_key", "_ord"], "left_anti"))
 
@@ -168,55 +190,89 @@ BINS = 65_536
 NARROW = 1e-12
 
 
-def _histogram(vectors: DataFrame, lows: list[float], widths: list[float], block_rows: int) -> DataFrame:
-    """
-    Counts of pair similarities in the bins of each range: (range, bin, n, low, high, total).
-    Every unordered pair lies in exactly one cell.
-    """
+def _place(values: np.ndarray, low: float, width: float) -> np.ndarray:
+    return np.clip((values - low) * (BINS / width), 0, BINS - 1).astype(np.int32)
+
+
+def _tiles(key, table):
+    """Similarities of the pairs of one cell, a tile at a time."""
+    i, j = key[0].as_py(), key[1].as_py()
+    b, ords, vecs = table["_b"].to_numpy(), table["_ord"].to_numpy(), normalised(matrix(table["_vec"]))
+    first, second = np.flatnonzero(b == i), np.flatnonzero(b == j)
+    for start in range(0, len(first), TILE):
+        for begin in range(0, len(second), TILE):
+            rows, cols = first[start : start + TILE], second[begin : begin + TILE]
+            sims = vecs[rows] @ vecs[cols].T
+            yield sims[ords[rows][:, None] < ords[cols][None, :]] if i == j else sims.ravel()
+
+
+def _in_cells(vectors: DataFrame, block_rows: int):
+    """Groups of two blocks; every unordered pair lies in exactly one."""
     keyed = vectors.withColumn("_key", F.lit(""))
     blocks = block_count(keyed, block_rows, "_n")
-    cells = keyed.join(blocks, "_key").withColumn("_b", block_of("_ord", "_n")).select(
+    return keyed.join(blocks, "_key").withColumn("_b", block_of("_ord", "_n")).select(
         F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_other"), "_b", "_ord", "_vec"
-    ).select(F.least("_b", "_other").alias("_i"), F.greatest("_b", "_other").alias("_j"), "_b", "_ord", "_vec")
-    out = pa.schema([("range", pa.int32()), ("bin", pa.int32()), ("n", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("total", pa.float64())])
+    ).select(F.least("_b", "_other").alias("_i"), F.greatest("_b", "_other").alias("_j"), "_b", "_ord", "_vec").groupBy("_i", "_j")
+
+
+WHOLE = (-1.0 - 1e-9, 2.0 + 2e-9)
+
+
+def _histogram(vectors: DataFrame, block_rows: int) -> DataFrame:
+    """Counts of pair similarities in the bins of the whole range, their greatest and sum: (bin, n, high, total)."""
+    out = pa.schema([("bin", pa.int32()), ("n", pa.int64()), ("high", pa.float64()), ("total", pa.float64())])
 
     def count(key, table):
-        i, j = key[0].as_py(), key[1].as_py()
-        b, ords, vecs = table["_b"].to_numpy(), table["_ord"].to_numpy(), normalised(matrix(table["_vec"]))
-        first, second = b == i, b == j
-        values = []
-        step = max(1, 4_000_000 // max(1, int(second.sum())))
-        rows = np.flatnonzero(first)
-        parts: dict = {}
-        for start in range(0, len(rows), step):
-            take = rows[start : start + step]
-            sims = vecs[take] @ vecs[second].T
-            values = sims[ords[take][:, None] < ords[second][None, :]] if i == j else sims.ravel()
-            for r, (low, width) in enumerate(zip(lows, widths)):
-                pos = np.floor((values - low) / width * BINS)
-                inside = (pos >= 0) & (pos < BINS)
-                bins, inverse, n = np.unique(pos[inside].astype(np.int64), return_inverse=True, return_counts=True)
-                v = values[inside]
-                lo, hi = np.full(len(bins), np.inf), np.full(len(bins), -np.inf)
-                np.minimum.at(lo, inverse, v)
-                np.maximum.at(hi, inverse, v)
-                s = np.bincount(inverse, weights=v, minlength=len(bins))
-                for x in zip(bins.tolist(), n.tolist(), lo.tolist(), hi.tolist(), s.tolist()):
-                    old = parts.get((r, x[0]))
-                    parts[(r, x[0])] = x[1:] if old is None else (old[0] + x[1], min(old[1], x[2]), max(old[2], x[3]), old[3] + x[4])
-        cols = [[k[0] for k in parts], [k[1] for k in parts]] + [[v[c] for v in parts.values()] for c in range(4)]
-        return pa.table({f.name: pa.array(c, f.type) for f, c in zip(out, cols)}, schema=out)
-
-    ddl = "range int, bin int, n bigint, low double, high double, total double"
-    return cells.groupBy("_i", "_j").applyInArrow(count, ddl).groupBy("range", "bin").agg(
-        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total")
-    )
+        n, high, total = np.zeros(BINS, np.int64), np.full(BINS, -np.inf), np.zeros(BINS)
+        for values in _tiles(key, table):
+            if len(values):
+                bins = _place(values, *WHOLE)
+                n += np.bincount(bins, minlength=BINS)
+                # the sum and the greatest of a tile are noted at its greatest value's bin
+                top = bins.max()
+                high[top], total[top] = max(high[top], values.max()), total[top] + values.sum()
+        some = np.flatnonzero(n)
+        return pa.table([pa.array(some, pa.int32()), pa.array(n[some]), pa.array(high[some]), pa.array(total[some])], schema=out)
+
+    found = _in_cells(vectors, block_rows).applyInArrow(count, "bin int, n bigint, high double, total double")
+    return found.groupBy("bin").agg(F.sum("n").alias("n"), F.max("high").alias("high"), F.sum("total").alias("total"))
+
+
+def _narrowed(vectors: DataFrame, paths: list[list[tuple]], block_rows: int) -> DataFrame:
+    """
+    Bins within bins: (range, bin, n, low, high). A path is the (low, width, bin) taken at each step, the last one
+    (low, width) alone; a value takes the same steps in every pass, so none is lost at an edge.
+    """
+    out = pa.schema([("range", pa.int32()), ("bin", pa.int32()), ("n", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+    wanted = np.zeros(BINS, dtype=bool)
+    wanted[[path[0][2] for path in paths]] = True
+
+    def count(key, table):
+        parts = [(np.zeros(BINS, np.int64), np.full(BINS, np.inf), np.full(BINS, -np.inf)) for _ in paths]
+        for values in _tiles(key, table):
+            bins = _place(values, *WHOLE)
+            some = wanted[bins]
+            values, bins = values[some], bins[some]
+            for path, (n, low, high) in zip(paths, parts):
+                mine = values[bins == path[0][2]]
+                for a, width, at in path[1:-1]:
+                    mine = mine[_place(mine, a, width) == at]
+                place = _place(mine, *path[-1])
+                np.add.at(n, place, 1)
+                np.minimum.at(low, place, mine)
+                np.maximum.at(high, place, mine)
+        held = [np.flatnonzero(n) for n, _, _ in parts]
+        cols = [np.concatenate([np.full(len(h), r) for r, h in enumerate(held)]), np.concatenate(held)]
+        cols += [np.concatenate([part[c][h] for part, h in zip(parts, held)]) for c in range(3)]
+        return pa.table([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
+
+    found = _in_cells(vectors, block_rows).applyInArrow(count, "range int, bin int, n bigint, low double, high double")
+    return found.groupBy("range", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def _order_statistics(vectors: DataFrame, ranks: list[int], block_rows: int):
     """Values at the given positions of the sorted pair similarities, by narrowing histograms."""
-    whole = (-1.0 - 1e-9, 2.0 + 2e-9)
-    first = _histogram(vectors, [whole[0]], [whole[1]], block_rows).orderBy("bin").collect()  # at most BINS rows
+    first = _histogram(vectors, block_rows).orderBy("bin").collect()  # at most BINS rows
     n, mean_sum, top = sum(r["n"] for r in first), sum(r["total"] for r in first), max(r["high"] for r in first)
     ranks = [min(max(r, 0), n - 1) for r in ranks]
 
@@ -228,27 +284,30 @@ def _order_statistics(vectors: DataFrame, ranks: list[int], block_rows: int):
         raise AssertionError("rank beyond the histogram")
 
     found: dict[int, float] = {}
-    open_: dict[int, tuple[float, float, int]] = {}
+    open_: dict[int, tuple[list, int]] = {}
 
-    def settle(rank, row, inner):
-        if row["high"] - row["low"] <= NARROW or row["n"] == 1:
-            found[rank] = row["low"]
-        elif inner == 0:
+    def settle(rank, path, row, inner):
+        if row["high"] - row["low"] <= NARROW or inner == 0:
             found[rank] = row["low"]
         elif inner == row["n"] - 1:
             found[rank] = row["high"]
         else:
-            open_[rank] = (row["low"], (row["high"] - row["low"]) * (1 + 1e-9) + 1e-15, inner)
+            span = (row["low"], (row["high"] - row["low"]) * (1 + 1e-9) + 1e-15)
+            open_[rank] = ([*path[:-1], (*path[-1], row["bin"]), span], inner)
 
     for rank in set(ranks):
-        settle(rank, *locate(first, rank))
+        row, inner = locate(first, rank)
+        step = WHOLE[1] / BINS
+        open_[rank] = ([(*WHOLE, row["bin"]), (WHOLE[0] + row["bin"] * step, step)], inner)
     while open_:
         todo = sorted(open_)
-        spans = [open_[r] for r in todo]
+        # ranks of one bin share its range
+        paths = list(dict.fromkeys(tuple(open_[r][0]) for r in todo))
+        inner_of = {r: (paths.index(tuple(open_[r][0])), open_[r][1]) for r in todo}
         open_.clear()
-        rows = _histogram(vectors, [s[0] for s in spans], [s[1] for s in spans], block_rows).orderBy("range", "bin").collect()
-        for i, rank in enumerate(todo):
-            settle(rank, *locate([r for r in rows if r["range"] == i], spans[i][2]))
+        rows = _narrowed(vectors, paths, block_rows).orderBy("range", "bin").collect()
+        for rank, (i, inner) in inner_of.items():
+            settle(rank, list(paths[i]), *locate([r for r in rows if r["range"] == i], inner))
     return n, mean_sum / n, top, {r: found[r] for r in ranks}
 
 
