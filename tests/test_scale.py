@@ -75,3 +75,18 @@ def test_parts_by_rows(spark):
     df = spark.range(0, 1000 * (cores + 3), 1, cores)
     assert spread_rows(df, 1000, "id").rdd.getNumPartitions() == cores + 3
     assert spread_rows(df, 10**9, "id").rdd.getNumPartitions() == cores
+
+
+def test_cells_keep_a_task_each_however_few_their_bytes(spark):
+    rows = spark.range(60).selectExpr("'a' AS _key", "id AS _id", "array(double(id + 1), 1.0) AS _load")
+    schema = pa.schema([("_key", pa.string()), ("_q", pa.int64()), ("_item", pa.int64()), ("_score", pa.float64())])
+    found = blocks._grid(rows, rows, blocks.cosine_scorer, 3, False, True, 10, schema, "_key string, _q long, _item long, _score double")
+    assert found.rdd.getNumPartitions() == blocks.cell_parts(rows, 36) == 72
+    assert blocks.cell_parts(rows, 10**9) == max(blocks.LEAST_PARTS, blocks.PARTS_A_CORE * spark.sparkContext.defaultParallelism)
+    vectors = rows.selectExpr("_id AS _ord", "_load AS _vec")
+    sizes = dedup._in_cells(vectors, 10).applyInArrow(_pairs_of, "n long")
+    assert sizes.rdd.getNumPartitions() == 42 and sizes.agg({"n": "sum"}).first()[0] == 60 * 59 // 2
+
+
+def _pairs_of(key, table):
+    return pa.table({"n": [sum(len(x) for x in dedup._tiles(key, table))]})

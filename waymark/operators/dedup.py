@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.operators.blocks import block_count, block_of, matrix, normalised
+from waymark.operators.blocks import block_count, block_of, cell_parts, dealt, matrix, normalised
 from waymark.operators.dense import cosine
 from waymark.session import checkpointed
 
@@ -76,7 +76,8 @@ def _has_earlier_neighbour(rows: DataFrame, others: DataFrame, threshold: float,
     (key, order) of the ``rows`` that have an earlier row of ``others`` within the threshold.
     Both sides are cut into blocks; a cell compares one block with one block.
     """
-    blocks = block_count(rows, block_rows, "_nr").join(block_count(others, block_rows, "_no"), "_key")
+    blocks = checkpointed(block_count(rows, block_rows, "_nr").join(block_count(others, block_rows, "_no"), "_key"))
+    n_cells = blocks.agg(F.coalesce(F.sum(F.col("_nr").cast("long") * F.col("_no")), F.lit(0))).first()[0]
 
     def cells(df: DataFrame, mine: str, theirs: str, own: str, other: str, side: int) -> DataFrame:
         return df.join(blocks, "_key").select(
@@ -93,7 +94,7 @@ def _has_earlier_neighbour(rows: DataFrame, others: DataFrame, threshold: float,
         hit = _near_earlier(mine, theirs, threshold)
         return mine.filter(pa.array(hit)).select(["_key", "_ord"]).cast(_IDS)
 
-    return both.groupBy("_key", "_rb", "_ob").applyInArrow(compare, _IDS_DDL).distinct()
+    return dealt(both, cell_parts(rows, n_cells), "_key", "_rb", "_ob").applyInArrow(compare, _IDS_DDL).distinct()
 
 
 def accepted_rows(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -209,10 +210,12 @@ def _tiles(key, table):
 def _in_cells(vectors: DataFrame, block_rows: int):
     """Groups of two blocks; every unordered pair lies in exactly one."""
     keyed = vectors.withColumn("_key", F.lit(""))
-    blocks = block_count(keyed, block_rows, "_n")
-    return keyed.join(blocks, "_key").withColumn("_b", block_of("_ord", "_n")).select(
+    counted = block_count(keyed, block_rows, "_n").first()
+    n = counted["_n"] if counted else 1
+    pairs = keyed.withColumn("_n", F.lit(n)).withColumn("_b", block_of("_ord", "_n")).select(
         F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_other"), "_b", "_ord", "_vec"
-    ).select(F.least("_b", "_other").alias("_i"), F.greatest("_b", "_other").alias("_j"), "_b", "_ord", "_vec").groupBy("_i", "_j")
+    ).select(F.least("_b", "_other").alias("_i"), F.greatest("_b", "_other").alias("_j"), "_b", "_ord", "_vec")
+    return dealt(pairs, cell_parts(vectors, n * (n + 1) // 2), "_i", "_j")
 
 
 WHOLE = (-1.0 - 1e-9, 2.0 + 2e-9)
