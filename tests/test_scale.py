@@ -90,3 +90,13 @@ def test_cells_keep_a_task_each_however_few_their_bytes(spark):
 
 def _pairs_of(key, table):
     return pa.table({"n": [sum(len(x) for x in dedup._tiles(key, table))]})
+
+
+def test_a_request_side_is_made_once(spark, monkeypatch):
+    from waymark.operators import lexical
+
+    made, plain = [], lexical.checkpointed
+    monkeypatch.setattr(lexical, "checkpointed", lambda df: made.append(df.columns) or plain(df))
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red hen"), (3, "blue hen")], "doc_id long, text string")
+    got = lexical.bm25_search(docs.withColumnRenamed("doc_id", "request_id"), docs, 1, skip_self=True, layout="grid").collect()
+    assert made == [["request_id", "load"]] and sorted((r["request_id"], r["doc_id"]) for r in got) == [(1, 2), (2, 1), (3, 2)]
