@@ -132,3 +132,14 @@ def test_matrix(spark, docs, none):
 
 def test_audit_query(spark, sf_dir):
     assert compare(queries.op12_filter_audit(spark, sf_dir), duck(sf_dir), queries.ORACLES["op12_filter_audit"]) is None
+
+
+def test_lines_are_dropped_a_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from waymark.llm import lines
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": ["one line of text\nx"] * 1000, "drop": [["one line of text"]] * 1000})
+    out = list(lines._kept([batch], 10))
+    assert max(b.num_rows for b in out) <= lines.ROWS and sum(b.num_rows for b in out) == 1000
+    assert {t for b in out for t in b.column("text").to_pylist()} == {"x"}

@@ -29,9 +29,15 @@ LEAST = 10
 STRIP = b" \t\n\x0b\x0c\r"
 SEGMENT = 1 << 20
 PROBES = 2
+ROWS = 256
 NO_ID = (1 << 63) - 1
 
 
+def _small(batches):
+    """Batches of few rows: texts, lines and keys are Python objects many times their bytes."""
+    return (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+
+
 def key_of(line: bytes) -> bytes:
     return line.strip(STRIP).lower()
 
@@ -55,7 +61,7 @@ def _bits(keys: list[bytes], size: int) -> np.ndarray:
 def _marked(batches, size, least):
     """Positions set once and twice by this task's documents, per segment of the filter."""
     once, twice = np.zeros(size, bool), np.zeros(size, bool)
-    for batch in batches:
+    for batch in _small(batches):
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             keys = keys_of(text, least)
             if keys:
@@ -117,7 +123,7 @@ def twice_seen(docs: DataFrame, size: int, least: int) -> bytes:
 
 def _suspects(batches, bits, size, least):
     filled = np.frombuffer(bits.value, np.uint8)
-    for batch in batches:
+    for batch in _small(batches):
         docs, keys = [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
             found = keys_of(text, least)
@@ -132,7 +138,7 @@ def _suspects(batches, bits, size, least):
 
 def _kept(batches, least):
     names = ["doc_id", "n_lines", "n_dropped", "text"]
-    for batch in batches:
+    for batch in _small(batches):
         out = [[] for _ in names]
         for doc, text, drop in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("drop").to_pylist()):
             lines = text.split("\n")
@@ -166,7 +172,7 @@ def drop_repeated_lines(docs: DataFrame, least: int = LEAST, **sizes) -> DataFra
 
 
 def _rewritten(batches, drop):
-    for batch in batches:
+    for batch in _small(batches):
         names = [n for n in batch.schema.names if n != drop]
         columns = {n: batch.column(n) for n in names}
         texts_now, sizes = batch.column("text").to_pylist(), None
