@@ -134,6 +134,26 @@ def test_audit_query(spark, sf_dir):
     assert compare(queries.op12_filter_audit(spark, sf_dir), duck(sf_dir), queries.ORACLES["op12_filter_audit"]) is None
 
 
+def test_entries_of_a_shard_are_sorted_a_few_documents_at_a_time(monkeypatch):
+    import numpy as np
+
+    from waymark.llm import matrix
+
+    draw = np.random.default_rng(5)
+    sizes = np.r_[0, draw.integers(0, 9, 40), 0, 50, 0]
+    codes = draw.integers(0, 7, sizes.sum()).astype(np.int32)
+    held, unique = [], np.unique
+    monkeypatch.setattr(matrix, "ENTRY_WORDS", 10)
+    monkeypatch.setattr(np, "unique", lambda x, **kw: held.append(len(x)) or unique(x, **kw))
+    indptr, (indices, data) = matrix._entries(codes, sizes, 7)
+    assert max(held) == 50 and sorted(held)[-2] <= 10
+    at = np.r_[0, np.cumsum(sizes)]
+    for i in range(len(sizes)):
+        words, counts = unique(codes[at[i] : at[i + 1]], return_counts=True)
+        row = slice(indptr[i], indptr[i + 1])
+        assert indices[row].tolist() == words.tolist() and data[row].tolist() == counts.tolist()
+
+
 def test_lines_are_dropped_a_few_rows_at_a_time():
     import pyarrow as pa
 
