@@ -100,3 +100,30 @@ def test_a_request_side_is_made_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red hen"), (3, "blue hen")], "doc_id long, text string")
     got = lexical.bm25_search(docs.withColumnRenamed("doc_id", "request_id"), docs, 1, skip_self=True, layout="grid").collect()
     assert made == [["request_id", "load"]] and sorted((r["request_id"], r["doc_id"]) for r in got) == [(1, 2), (2, 1), (3, 2)]
+
+
+def test_tiles_are_looked_through_in_single_precision_and_ranked_in_double(monkeypatch):
+    monkeypatch.setattr(blocks, "TILE_ROWS", 16)
+    monkeypatch.setattr(blocks, "TILE_ITEMS", 32)
+    monkeypatch.setattr(blocks, "FIRST_ITEMS", 24)
+    draw = np.random.default_rng(5)
+    vectors = np.repeat(draw.normal(size=(30, 8)), 10, axis=0)
+    # neighbours that single precision cannot tell apart, equal ones, one of no length
+    vectors += draw.normal(size=vectors.shape) * np.repeat([1e-6, 0.0, 1e-3], 100)[:, None]
+    vectors[7] = 0
+    whole, scored = [], []
+    plain = blocks.Cosine.at
+    monkeypatch.setattr(blocks.Cosine, "__call__", lambda self, rows, cols: whole.append(1))
+    monkeypatch.setattr(blocks.Cosine, "at", lambda self, rows, cols: scored.append(len(rows)) or plain(self, rows, cols))
+    unit = blocks.normalised(vectors)
+    want = np.round(unit @ unit.T, blocks.SCORE_DIGITS)
+    for ids in (list(range(300)), [f"{i:03}" for i in range(300)]):
+        table = side(vectors, ids)
+        q, found, scores = blocks._candidates(table, table, blocks.cosine_scorer, 5, False, True)
+        for i in range(300):
+            best = sorted((-s, j) for s, j in zip(want[i], ids) if j != ids[i])[:5]
+            assert [j for _, j in best] == found[q == i].tolist() and np.allclose([-s for s, _ in best], scores[q == i], atol=2e-9)
+    assert not whole and sum(scored) < 2 * 300 * 300 * 0.6
+    few = side(vectors[:3], [0, 1, 2])
+    q, found, _ = blocks._candidates(few, few, blocks.cosine_scorer, 5, False, True)
+    assert sorted(zip(q.tolist(), found.tolist())) == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)]
