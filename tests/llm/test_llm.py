@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -121,6 +122,31 @@ def test_toxicity_sample(spark):
     assert [t.tobytes() for t, _ in small] == [t.tobytes() for t, _ in whole[: len(small)]]
 
 
+def test_toxicity_fits_in_little_memory():
+    """Fitting takes less than the sample's own bytes; before, it held places and values of all rows, twice those bytes."""
+    draw, rows = np.random.default_rng(4), []
+    for i in range(6000):
+        found = np.empty(400, toxicity.TERM)
+        found["bucket"], found["value"] = np.sort(draw.choice(5000, 400, False)), 0.5
+        rows.append((found, i % 2))
+    tracemalloc.start()
+    machine = toxicity.fit(rows, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(machine.buckets) == 5000 and peak < sum(t.nbytes for t, _ in rows)
+
+
+def test_toxicity_sample_lies_in_a_file():
+    kept = [terms_of(1, 2), terms_of(), terms_of(7)]
+    tracemalloc.start()
+    rows = toxicity.on_disk((t.tobytes(), i) for i, t in enumerate([*kept, *(terms_of(*range(1000)) for _ in range(500))]))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1 << 20 < sum(t.nbytes for t, _ in rows)
+    assert [(t.tolist(), y) for t, y in rows[:3]] == [(t.tolist(), i) for i, t in enumerate(kept)] and len(rows) == 503
+    assert [len(t) for t, _ in toxicity.on_disk([(b"", 1)])] == [0] and toxicity.on_disk([]) == []
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
     rows = documents(spark, [(i, ("you fool group" if i % 2 else "you fine group") + f" {i}") for i in range(400)] + [(900, None), (901, ""), (902, "you fool group " * 30_000), (None, "you fine group"), (3, "you fool group 3")])

@@ -20,6 +20,7 @@ Without any label the score is 0; with one label only it is that label.
 from __future__ import annotations
 
 import re
+import tempfile
 import zlib
 from collections import Counter
 from functools import partial
@@ -108,7 +109,21 @@ def sample_terms(docs: DataFrame, labels: DataFrame, sample: int = 12_000, folds
     if fits < len(sizes):
         rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id,) for r in sizes[:fits]], "doc_id long")), "doc_id", "left_semi")
     share = known.agg(F.avg("toxic")).first()[0]
-    return [(np.frombuffer(bytes(r.terms), TERM), r.toxic) for r in rows.orderBy(*place).toLocalIterator()], share
+    return on_disk((r.terms, r.toxic) for r in rows.orderBy(*place).toLocalIterator()), share
+
+
+def on_disk(rows) -> list:
+    """Rows (bytes of terms, label) as (terms, label); the terms lie in a mapped file without a name that goes when they do."""
+    labels, ends = [], [0]
+    with tempfile.TemporaryFile() as file:
+        for found, label in rows:
+            file.write(found)
+            labels.append(label)
+            ends.append(ends[-1] + len(found) // TERM.itemsize)
+        file.flush()
+        # a file without bytes cannot be mapped
+        flat = np.asarray(np.memmap(file, TERM, "r")) if ends[-1] else np.empty(0, TERM)
+    return [(flat[a:b], y) for a, b, y in zip(ends, ends[1:], labels)]
 
 
 class Machine:
@@ -142,15 +157,18 @@ def _descend(machine: Machine, rows, epochs: int, rate: float, decay: float, see
     labels = np.array([y for _, y in rows], np.float64)
     weights, factors, bias = np.zeros(n), random.normal(0, 0.05, (n, FACTORS)), _logit(labels.mean())
     grad_w, grad_v = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2)
-    places = [machine.places(found) for found, _ in rows]
+    # every bucket of the rows is the machine's; the places of 64 rows are looked up when they are needed
+    place = np.zeros(BUCKETS, np.int32)
+    place[machine.buckets] = np.arange(n, dtype=np.int32)
     for _ in range(epochs):
         order = random.permutation(len(rows))
         for begin in range(0, len(order), 64):
-            chosen = [i for i in order[begin : begin + 64] if len(places[i][0])]
+            chosen = [i for i in order[begin : begin + 64] if len(rows[i][0])]
             if not chosen:
                 continue
-            sizes = np.array([len(places[i][0]) for i in chosen])
-            flat, value = (np.concatenate([places[i][k] for i in chosen]) for k in (0, 1))
+            sizes = np.array([len(rows[i][0]) for i in chosen])
+            found = np.concatenate([rows[i][0] for i in chosen])
+            flat, value = place[found["bucket"]], found["value"].astype(np.float64)
             of, edges = np.repeat(np.arange(len(chosen)), sizes), np.r_[0, sizes.cumsum()[:-1]]
             parts = factors[flat] * value[:, None]
             sums = np.add.reduceat(parts, edges)
@@ -197,7 +215,10 @@ def fit(rows, share: float | None = None, epochs: int = 8, rate: float = 0.3, de
     held, learned = rows[::hold], [r for i, r in enumerate(rows) if i % hold]
     if len({y for _, y in learned}) < 2 or len({y for _, y in held}) < 2:
         held, learned = [], rows
-    machine = Machine(np.unique(np.concatenate([t["bucket"] for t, _ in learned])), 0.0, None, None)
+    seen = np.zeros(BUCKETS, bool)
+    for t, _ in learned:
+        seen[t["bucket"]] = True
+    machine = Machine(np.flatnonzero(seen).astype(np.int32), 0.0, None, None)
     _descend(machine, learned, epochs, rate, decay, seed)
     if held:
         _calibrate(machine, held)
