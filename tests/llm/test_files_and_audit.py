@@ -168,6 +168,8 @@ def test_lines_are_dropped_a_few_rows_at_a_time():
 def test_words_travel_packed_and_are_numbered_by_bucket(spark, monkeypatch):
     import pyarrow as pa
 
+    from waymark.operators import terms
+
     monkeypatch.setattr(matrix, "BUCKET_WORDS", 7)
     words = [f"w{i}" * (i % 3 + 1) for i in range(60)] + ["é", "\x00", "x" * 1000]
     docs = spark.createDataFrame([(i, " ".join(words[i:] + words[:5])) for i in range(0, 60, 6)], "doc_id long, text string").repartition(5)
@@ -179,7 +181,7 @@ def test_words_travel_packed_and_are_numbered_by_bucket(spark, monkeypatch):
         for tag, a, b in zip(s.tags, indptr, indptr[1:]):
             assert set(indices[a:b].tolist()) == {ids[w] for w in words[tag:] + words[:5]}
     assert "Window" not in shards._jdf.queryExecution().executedPlan().toString()
-    data, lengths = matrix._packed(pa.array([b"ab", b"c", b"ab"], pa.binary()).slice(1))
-    hashes = matrix._word_hashes(np.frombuffer(data, "u1"), np.frombuffer(lengths, "<i4"))
-    alone = matrix._word_hashes(np.frombuffer(b"ab", "u1"), np.array([2], "<i4"))
+    data, lengths = terms.packed(pa.array([b"ab", b"c", b"ab"], pa.binary()).slice(1))
+    hashes = terms.word_hashes(np.frombuffer(data, "u1"), np.frombuffer(lengths, "<i4"))
+    alone = terms.word_hashes(np.frombuffer(b"ab", "u1"), np.array([2], "<i4"))
     assert data == b"cab" and hashes[1] == alone[0] != hashes[0]
