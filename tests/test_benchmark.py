@@ -33,3 +33,15 @@ def test_the_summary_has_every_strategy_and_case(spark, tmp_path):
 
 def test_the_stand_in_for_a_model():
     assert evaluation.shared_words(["red fox", "a b", "", "x"], ["fox RED", "b c", "", ""]) == [6.0, 8 / 3 - 2, -2.0, -2.0]
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_texts_without_a_vector_are_not_shuffled(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(evaluation, "MOST_IDS", most)
+    documents = [(i, f"text {i}", "en", "src0") for i in [*range(40), 3]] + [(None, "lost", "en", "src0")]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(i, [1.0, float(i or 0)], 1) for i in (1, 3, 5, 5, 99, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = evaluation.indexed(spark, str(tmp_path))
+    assert sorted((r["row_uid"], r["query"]) for r in rows.collect()) == [(1, "text 1"), (3, "text 3"), (3, "text 3"), (5, "text 5"), (5, "text 5")]
+    assert ("LeftSemi" in rows._jdf.queryExecution().optimizedPlan().toString()) == (most > 0)
